@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import lookalike, neardup
+from quirework.llm import lookalike, mojibake, names, neardup
 from quirework.session import prepare, table
 
 
@@ -23,5 +23,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.unclean_cells(lookalike.text_cells(table(spark, sf_dir, "books"), table(spark, sf_dir, "chapters")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, restored): the garbled title and description cells."""
+    prepare(spark)
+    return mojibake.restore_garbled(mojibake.header_cells(table(spark, sf_dir, "exth_headers")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_a, name_b): different strings that name the same person or organisation."""
+    prepare(spark)
+    return names.name_pairs(names.typed_names(table(spark, sf_dir, "books"), table(spark, sf_dir, "exth_headers")))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
