@@ -75,7 +75,7 @@ IDLE = frozenset("dr prof mr mrs ms miss sir dame rev phd jr sr the of for and a
 PARTICLES = frozenset("van von de di da del der den la le du dos das".split())
 FORMAL = {short: line.split()[0] for line in (NICKNAMES + SHORT).split("\n") if line for short in line.split()}
 #: A token of at most RARE names, or of FEW times fewer than another, may be a slip of that one.
-RARE, FEW, LEAST = 2, 20, 5
+RARE, FEW, LEAST = 2, 10, 5
 
 _PIECE = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 
@@ -99,17 +99,26 @@ def _first_letters(name: str) -> list[str]:
     return ["".join(p[0] for p in m.group().split("-")) for m in _PIECE.finditer(unicodedata.normalize("NFKD", clean(name)).lower()) if "-" in m.group()]
 
 
+def _roles(name: str) -> tuple[str | None, str | None]:
+    """The word before and the word after the comma of a name that has one of each."""
+    left, comma, right = name.partition(",")
+    if not comma or "," in right:
+        return None, None
+    before, after = ([w for w in tokens(x)[1] if w not in PARTICLES] for x in (left, right))
+    return (before[0], after[0]) if len(before) == len(after) == 1 else (None, None)
+
+
 def _parsed(names: DataFrame) -> DataFrame:
-    """(name, plain, words, initials, double): double has the initials of the hyphenated words."""
+    """(name, plain, words, initials, double, before, after): double has the initials of the hyphenated words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column("name").to_pylist()
-            got = [(*tokens(x), _first_letters(x)) for x in raw]
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([x[0] for x in got], pa.string()), *(pa.array([x[i] for x in got], lists) for i in (1, 2, 3))], ["name", "plain", "words", "initials", "double"])
+            got = [(*tokens(x), _first_letters(x), *_roles(clean(x))) for x in raw]
+            one, many = pa.string(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("name"), *(pa.array([x[i] for x in got], t) for i, t in enumerate((one, many, many, many, one, one)))], ["name", "plain", "words", "initials", "double", "before", "after"])
 
-    return names.select("name").mapInArrow(run, "name string, plain string, words array<string>, initials array<string>, double array<string>")
+    return names.select("name").mapInArrow(run, "name string, plain string, words array<string>, initials array<string>, double array<string>, before string, after string")
 
 
 def slips(counted: DataFrame) -> DataFrame:
@@ -145,14 +154,19 @@ def link_names(names: DataFrame) -> DataFrame:
     collected into a task.
     """
     parsed = stored(_parsed(names.select("name").where("name is not null").distinct()).where("plain <> ''"), "names")
-    forms = parsed.groupBy("plain").agg(F.first("words").alias("words"))
+    forms = parsed.groupBy("plain").agg(F.first("words").alias("words"), F.first("before").alias("before"), F.first("after").alias("after"))
     formal = F.create_map(*[F.lit(x) for pair in sorted(FORMAL.items()) for x in pair])
     counted = stored(forms.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("df")), "tokens")
     root = stored(slips(counted), "slips")
     # A token's weight is how rare its root is; a root that is itself a slip is followed once more.
     again = root.select(F.col("token").alias("root"), F.col("root").alias("root2"))
     meant = counted.join(root, "token", "left").join(again, "root", "left").select("token", F.coalesce(formal[F.col("root2")], "root2", formal[F.col("root")], "root", formal[F.col("token")], "token").alias("meant"))
-    weights = meant.join(counted, "token").groupBy("meant").agg(F.sum("df").alias("weight"))
+    # What often stands behind the comma and hardly ever before it is a given name, however rare.
+    roles = forms.where("after is not null").select(F.explode(F.expr("array(named_struct('token', before, 'b', 1, 'a', 0), named_struct('token', after, 'b', 0, 'a', 1))")).alias("x")).groupBy("x.token").agg(F.sum("x.b").alias("b"), F.sum("x.a").alias("a"))
+    formals = F.array(*[F.lit(x) for x in sorted(set(FORMAL.values()) | PARTICLES)])
+    summed = meant.join(counted, "token").join(roles, "token", "left").groupBy("meant").agg(F.sum("df").alias("df"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    common = F.array_contains(formals, F.col("meant")) | ((F.col("a") >= 2) & (F.col("a") > 4 * F.col("b")))
+    weights = summed.select("meant", F.struct(common.alias("common"), F.col("df").alias("df")).alias("weight"))
     placed = (
         parsed.select("name", "initials", "double", F.posexplode_outer("words").alias("at", "token"))
         .join(meant, "token", "left")
