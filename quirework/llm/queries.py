@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import lookalike, mojibake, names, neardup
+from quirework.llm import bpe, lookalike, mojibake, names, neardup
 from quirework.session import prepare, table
 
 
@@ -35,5 +35,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_pairs(names.typed_names(table(spark, sf_dir, "books"), table(spark, sf_dir, "exth_headers")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): the token ids of every document."""
+    prepare(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every document encoded and decoded again."""
+    prepare(spark)
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
+ORACLE: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
