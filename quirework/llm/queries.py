@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, lookalike, mojibake, names, neardup
+from quirework.llm import bpe, leakage, lookalike, mojibake, names, neardup
 from quirework.session import prepare, table
 
 
@@ -47,5 +47,11 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): the documents and the evaluation items they leak."""
+    prepare(spark)
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found}
 ORACLE: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
