@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, leakage, lookalike, mojibake, names, neardup
+from quirework.llm import bpe, langid, leakage, lookalike, mojibake, names, neardup
 from quirework.session import prepare, table
 
 
@@ -53,5 +53,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seg_no, lang): the segments of documents whose label doesn't tell their language."""
+    prepare(spark)
+    return langid.mislabelled(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
