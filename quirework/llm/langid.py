@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ class Settings:
 
     texts: int = 160
     chars: int = 24_000
-    change: float = 45.0
+    change: float = 50.0
     piece: int = 240
 
 
@@ -72,9 +73,19 @@ def sentences(text: str) -> list[str]:
     return [y for x in _STOP.split(text) if x and any(map(str.isalpha, y := _NO_WORD.sub(" ", x)))]
 
 
-def letters(text: str) -> str:
-    """What is compared of a sentence: its words in lower case between single spaces."""
-    return " " + " ".join(_NOT_LETTER.sub(" ", text.lower()).split()) + " "
+def letters(text: str, neutral: frozenset[str] = frozenset()) -> str:
+    """What is compared of a sentence: its words in lower case between single spaces, without those that tell no language."""
+    return " " + "".join([x + " " for x in _NOT_LETTER.sub(" ", text.lower()).split() if x not in neutral])
+
+
+def neutral_words(texts: dict[str, list[list[str]]], languages: int = 4, length: int = 4, share: float = 0.4) -> frozenset[str]:
+    """Words of some length that the texts of several languages share evenly: names, most of them."""
+    by: dict[str, list[int]] = {}
+    for own in texts.values():
+        held = Counter(w for t in own for w in {w for y in t for w in y.split() if len(w) >= length})
+        for w, n in held.items():
+            by.setdefault(w, []).append(n)
+    return frozenset(w for w, ns in by.items() if len(ns) >= languages and max(ns) <= share * sum(ns))
 
 
 class Automaton:
@@ -132,6 +143,8 @@ class Automaton:
 
 
 class Model:
+    neutral: frozenset[str] = frozenset()
+
     def __init__(self, languages: list[str], texts: tuple[str, ...]):
         self.languages, self.texts, self.automata = languages, texts, [Automaton(x) for x in texts]
         chars = sorted(set().union(*[a.symbols for a in self.automata]))
@@ -202,7 +215,9 @@ def train(sample: dict[str, list[str]], s: Settings) -> Model:
     sentences placed in their label's language make the model that is returned.
     """
     languages = [x for x in LANGUAGES if sample.get(x)]
-    plain = {x: [[letters(y) for y in sentences(t)] for t in sample[x]] for x in languages}
+    split = {x: [sentences(t) for t in sample[x]] for x in languages}
+    neutral = neutral_words({x: [[letters(y) for y in t] for t in own] for x, own in split.items()})
+    plain = {x: [[letters(y, neutral) for y in t] for t in own] for x, own in split.items()}
     halves = [{x: [y for t in plain[x][h::2] for y in t] or [y for t in plain[x] for y in t] for x in languages} for h in (0, 1)]
     models = [Model(languages, tuple("".join(half[x])[: s.chars // 2] for x in languages)) for half in halves]
     kept: dict[str, list[str]] = {x: [] for x in languages}
@@ -210,7 +225,9 @@ def train(sample: dict[str, list[str]], s: Settings) -> Model:
         for k, x in enumerate(languages):
             placed = judge.bits(half[x], s.piece).argmin(axis=1) if half[x] else []
             kept[x] += [y for y, at in zip(half[x], placed, strict=True) if at == k]
-    return Model(languages, tuple("".join(kept[x] or plain[x][0])[: s.chars] for x in languages))
+    model = Model(languages, tuple("".join(kept[x] or plain[x][0])[: s.chars] for x in languages))
+    model.neutral = neutral
+    return model
 
 
 def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -231,7 +248,7 @@ def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            each = [[letters(y) for y in sentences(x or "")] for x in b.column("text").to_pylist()]
+            each = [[letters(y, model.neutral) for y in sentences(x or "")] for x in b.column("text").to_pylist()]
             bits = model.bits([y for x in each for y in x], s.piece)
             out, at = [], 0
             for doc, parts in zip(b.column("doc_id").to_pylist(), each, strict=True):
