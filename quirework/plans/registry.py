@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import training
+from quirework.plans import reference, training
 
-MODULES = [training]
+MODULES = [training, reference]
 
 
 def queries() -> dict:
