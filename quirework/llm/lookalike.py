@@ -59,6 +59,8 @@ y у -
 ALPHABETS = ("Latin", "Cyrillic", "Greek")
 _RANGES = {"Latin": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrillic": "Ѐ-ҁҊ-ԯ", "Greek": "Ͱ-ͽͿ-Ͽἀ-῿"}
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]")
+#: Anything but ASCII, composed Latin letters and usual punctuation, none of which is ever changed.
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ıĴ-ňŊ-ſ–—‘-„…]")
 #: Characters of class Cf that show as signs of their own.
 _SHOWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Invisible though not of class Cf: joiners, fillers and variation selectors.
@@ -135,6 +137,8 @@ def _compiled():
     la, cy, gr = (_RANGES[a] for a in ALPHABETS)
     mixed = f"[{la}](?=[{cy}{gr}])|[{cy}](?=[{la}{gr}])|[{gr}](?=[{la}{cy}])"
     trigger = re.compile(f"[{_class([*one, *marks])}{cy}{gr}]")
+    if any(not _UNUSUAL.match(c) for c in [*one, *marks]):
+        raise ValueError("a usual character would be changed")
     hidden = _class(k for k, v in one.items() if not v)
     cluster = re.compile(f"[{_class([*one, *marks])}]|[^{_class(marks)}][{hidden}]*[{_class(marks)}][{_class(marks)}{hidden}]*")
     word = re.compile(f"[{la}{cy}{gr}{_class(marks)}]+")
@@ -156,6 +160,8 @@ def clean(text: str | None) -> str | None:
     """
     if text is None or text.isascii() and not _CONTROL.search(text):
         return text
+    if not _UNUSUAL.search(text):
+        return text
     trigger, cluster, word, own, ambiguous, mixed = _compiled()
     if not trigger.search(text):
         return text
