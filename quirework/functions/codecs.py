@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import html
-import struct
 from html.entities import name2codepoint
 from re import Match, compile
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from quirework.functions.decoding import decode_bytes, image_size, lz77_decompress
+
 _ENTITY = compile(r"&(#x[0-9a-fA-F]+|#\d+|\w+);")
 
 
@@ -33,93 +33,16 @@ def percent_decode(s: pd.Series) -> pd.Series:
     """Percent escapes of path and fragment, each on its own; a plus stays, invalid escapes too."""
     return s.map(lambda x: "#".join(unquote(p, errors="replace") for p in x.split("#", 1)), na_action="ignore")
 
-
-def decode_bytes(raw: bytes | None, declared: str | None) -> str | None:
-    """UTF-8, by its mark or as it is valid; else the declared encoding; else windows-1252."""
-    if raw is None:
-        return None
-    raw = bytes(raw)
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return raw[3:].decode("utf-8", "replace")
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", "replace")
-    for encoding in ("utf-8", declared):
-        try:
-            return raw.decode(encoding) if encoding else None or raw.decode("cp1252")
-        except (UnicodeDecodeError, LookupError):
-            continue
-    return raw.decode("cp1252", "replace")
-
-
 @pandas_udf("string")
 def decode_text(raw: pd.Series, declared: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(a, b) for a, b in zip(raw, declared, strict=True)], dtype="object")
 
-
-def image_size(raw: bytes | None) -> tuple[int | None, int | None]:
-    """Width and height out of a PNG's, GIF's or JPEG's header; none where it isn't one."""
-    raw = bytes(raw or b"")
-    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
-        return struct.unpack(">II", raw[16:24])
-    if raw[:4] == b"GIF8" and len(raw) >= 10:
-        return struct.unpack("<HH", raw[6:10])
-    if raw[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(raw):
-            if raw[at] != 0xFF:
-                at += 1
-                continue
-            marker = raw[at + 1]
-            if marker == 0xFF:
-                at += 1
-                continue
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
-                return width, height
-            if marker in (0x01, *range(0xD0, 0xDA)):
-                at += 2
-                continue
-            at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
-    return None, None
-
-
 @pandas_udf("width int, height int")
 def image_dimensions(raw: pd.Series) -> pd.DataFrame:
     sizes = [image_size(x) for x in raw]
     return pd.DataFrame({"width": pd.array([s[0] for s in sizes], "Int32"), "height": pd.array([s[1] for s in sizes], "Int32")})
 
-
-def lz77_decompress(raw: bytes) -> bytes:
-    """PalmDoc's text compression, undone; references before the start give what is there."""
-    out, i = bytearray(), 0
-    while i < len(raw):
-        c = raw[i]
-        i += 1
-        if 1 <= c <= 8:
-            out += raw[i : i + c]
-            i += c
-        elif c < 0x80:
-            out.append(c)
-        elif c >= 0xC0:
-            out += bytes((0x20, c ^ 0x80))
-        elif i < len(raw):
-            pair = (c << 8 | raw[i]) & 0x3FFF
-            i += 1
-            back, n = pair >> 3, (pair & 7) + 3
-            for _ in range(n if 0 < back <= len(out) else 0):
-                out.append(out[-back])
-    return bytes(out)
-
-
 @pandas_udf("binary")
 def palmdoc_decompress(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: lz77_decompress(bytes(x)), na_action="ignore")
 
-
-def deobfuscated(raw: bytes, key: bytes, length: int) -> bytes:
-    """The first bytes of a font, XORed with a key that repeats."""
-    head = bytes(b ^ key[i % len(key)] for i, b in enumerate(raw[:length]))
-    return head + raw[length:]
-
-
-__all__ = ["Column", "decode_bytes", "decode_text", "deobfuscated", "image_dimensions", "image_size", "lz77_decompress", "palmdoc_decompress", "percent_decode", "resolve_entities"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.session import stored
+
 STRUCTURAL = ("Container", "Root", "Figure", "Sidebar", "UnorderedList", "OrderedList", "DefinitionList", "Table", "TableHead", "TableBody", "TableRow", "BlockQuote", "ListItem", "TableCell", "DefinitionDescription")
 BLOCK = (*STRUCTURAL, "Paragraph", "Heading", "CodeBlock", "Rule", "Caption", "DefinitionTerm")
 INLINE = ("Text", "Inline", "Link", "Image", "Break", "Math")
@@ -145,20 +147,29 @@ def prune(nodes: DataFrame) -> DataFrame:
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
-    """Dense pre, end, sib and depth again after rows were dropped."""
+    """Dense pre, end and sib again after rows were dropped.
+
+    A node's new end is how many survivors stand up to its old one, which a running count over
+    starts and ends in one order tells."""
     w = Window.partitionBy("doc_key").orderBy("pre")
     n = nodes.withColumn("__new", F.row_number().over(w) - 1)
+    starts = n.select("doc_key", F.col("pre").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast("int").alias("pre"))
+    stops = n.select("doc_key", F.col("end").alias("__at"), F.lit(1).alias("__side"), "pre")
+    seen = F.sum(1 - F.col("__side")).over(Window.partitionBy("doc_key").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = starts.unionByName(stops).withColumn("__end", (seen - 1).cast("int")).where("__side = 1").select("doc_key", "pre", "__end")
     by_parent = n.select("doc_key", F.col("pre").alias("parent_pre"), F.col("__new").alias("__parent"))
-    last = n.select("doc_key", F.col("pre").alias("__at"), F.col("__new").alias("__last"))
-    counted = n.join(last, "doc_key").where("__at between pre and end").groupBy("doc_key", "pre").agg(F.max("__last").alias("__end"))
-    out = n.join(by_parent, _PARENT, "left").join(counted, ["doc_key", "pre"])
+    out = n.join(by_parent, _PARENT, "left").join(ends, ["doc_key", "pre"])
     sib = F.row_number().over(Window.partitionBy("doc_key", "parent_pre").orderBy("pre")) - 1
     out = out.withColumn("sib", sib).withColumns({"pre": F.col("__new"), "end": F.col("__end"), "parent_pre": F.col("__parent")})
     return out.select(*nodes.columns)
 
 
 def pipeline(nodes: DataFrame) -> DataFrame:
-    """All passes that drop or join nodes, in order, and dense numbers at the end."""
-    for step in (vacuum, merge_spans, fuse_lists, trim_edges, prune, renumber):
-        nodes = step(nodes)
-    return nodes
+    """All passes that drop or join nodes, in order, and dense numbers at the end.
+
+    Passes join nodes with themselves; each is written to the shared folder, or the next would
+    run all before it once a side."""
+    nodes = stored(nodes, "nodes")
+    for step in (vacuum, merge_spans, fuse_lists, trim_edges, prune):
+        nodes = stored(step(nodes), "nodes")
+    return renumber(nodes)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import css
+from quirework.operators.grouped import per_document
 
 RULES = "sheet string, rule int, origin string, selector string, ids int, classes int, elements int, property string, value string, important boolean"
 
@@ -128,10 +128,8 @@ def cascade(nodes: DataFrame, author: str, user_agent: str = css.DEFAULTS) -> Da
     sheets = [(0, *r) for r in css.rules(user_agent)] + [(1, *r) for r in css.rules(author)]
     compiled = [(o, c, css.specificity(sel), css.declarations(body), i) for i, (o, sel, body) in enumerate(sheets) if (c := _compile(sel))]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = [r for r in rows.sort_values("pre").where(rows.notna(), None).to_dict("records") if r["tag"] != "#text"]
-        for n in nodes:
-            n["parent_pre"] = None if n["parent_pre"] is None else int(n["parent_pre"])
+    def work(key: int, rows: list[dict]) -> list[tuple]:
+        nodes = [r for r in rows if r["tag"] != "#text"]
         by = {n["pre"]: n for n in nodes}
         kids: dict[int | None, list[dict]] = {}
         for n in nodes:
@@ -142,18 +140,18 @@ def cascade(nodes: DataFrame, author: str, user_agent: str = css.DEFAULTS) -> Da
             best: dict[str, tuple] = {}
             found = [((imp, -o if imp else o, *spec, i), p, v) for o, c, spec, ds, i in compiled if matches(c, n, by, kids) for p, v, imp in ds]
             found += [((imp, 2, 9, 9, 9, 1 << 30), p, v) for p, v, imp in css.declarations(n["style"])]
-            for key, p, v in found:
-                if p not in best or key >= best[p][0]:
-                    best[p] = (key, v)
+            for order, p, v in found:
+                if p not in best or order >= best[p][0]:
+                    best[p] = (order, v)
             above = styles.get(n["parent_pre"], {"font-size": "1rem"})
             own = {p: v for p, v in above.items() if p in css.INHERITED} | {p: v for p, (_, v) in best.items() if v != "inherit"}
             own["font-size"] = f"{font_size(best['font-size'][1] if 'font-size' in best else None, above['font-size']):g}rem"
             styles[n["pre"]] = own
-            out += [(n["doc_key"], n["pre"], p, v) for p, v in sorted(own.items())]
-        return pd.DataFrame(out, columns=["doc_key", "pre", "property", "value"])
+            out += [(key, n["pre"], p, v) for p, v in sorted(own.items())]
+        return out
 
     cols = ["doc_key", "pre", "parent_pre", "tag", "id", "class", "style", "href", "src", "lang", "epub_type", "title"]
-    return nodes.select(*cols).groupBy("doc_key").applyInPandas(run, "doc_key bigint, pre int, property string, value string")
+    return per_document(nodes, cols, work, "doc_key bigint, pre int, property string, value string")
 
 
 def font_size(value: str | None, parent: str) -> float:

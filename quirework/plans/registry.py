@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import reference, training
+from quirework.plans import documents, reference, training
 
-MODULES = [training, reference]
+MODULES = [training, reference, documents]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.p1_found(spark, sf_dir)
+    return documents.q_flagship(spark, sf_dir)
