@@ -2,47 +2,34 @@
 
 from __future__ import annotations
 
-import html
-from html.entities import name2codepoint
-from re import Match, compile
-from urllib.parse import unquote
-
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from quirework.functions.decoding import decode_bytes, image_size, lz77_decompress
-
-_ENTITY = compile(r"&(#x[0-9a-fA-F]+|#\d+|\w+);")
-
-
-def _entity(m: Match) -> str:
-    name = m.group(1)
-    if name[0] == "#" or name in name2codepoint or name == "apos":
-        return html.unescape(m.group())
-    return ""
+from quirework.functions.decoding import decode_bytes, entities_resolved, image_size, lz77_decompress, percent_decoded
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def resolve_entities(s: pd.Series) -> pd.Series:
-    """Named and numeric entities resolved; unknown ones dropped."""
-    return s.map(lambda x: _ENTITY.sub(_entity, x), na_action="ignore")
+    return s.map(entities_resolved, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def percent_decode(s: pd.Series) -> pd.Series:
-    """Percent escapes of path and fragment, each on its own; a plus stays, invalid escapes too."""
-    return s.map(lambda x: "#".join(unquote(p, errors="replace") for p in x.split("#", 1)), na_action="ignore")
+    return s.map(percent_decoded, na_action="ignore")
 
-@pandas_udf("string")
+
+@pandas_udf(StringType())
 def decode_text(raw: pd.Series, declared: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(a, b) for a, b in zip(raw, declared, strict=True)], dtype="object")
 
-@pandas_udf("width int, height int")
+
+@pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_dimensions(raw: pd.Series) -> pd.DataFrame:
     sizes = [image_size(x) for x in raw]
     return pd.DataFrame({"width": pd.array([s[0] for s in sizes], "Int32"), "height": pd.array([s[1] for s in sizes], "Int32")})
 
-@pandas_udf("binary")
+
+@pandas_udf(BinaryType())
 def palmdoc_decompress(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: lz77_decompress(bytes(x)), na_action="ignore")
-

@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
+import html
+import re
 import struct
+from html.entities import name2codepoint
+from urllib.parse import unquote
+
+_ENTITY = re.compile(r"&(#x[0-9a-fA-F]+|#\d+|\w+);")
+
+
+def _entity(m: re.Match) -> str:
+    name = m.group(1)
+    return html.unescape(m.group()) if name[0] == "#" or name in name2codepoint or name == "apos" else ""
+
+
+def entities_resolved(s: str) -> str:
+    """Named and numeric entities resolved; unknown ones dropped."""
+    return _ENTITY.sub(_entity, s)
+
+
+def percent_decoded(s: str) -> str:
+    """Percent escapes of path and fragment, each on its own; a plus stays, invalid escapes too."""
+    return "#".join(unquote(p, errors="replace") for p in s.split("#", 1))
 
 
 def decode_bytes(raw: bytes | None, declared: str | None) -> str | None:

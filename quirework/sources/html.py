@@ -134,12 +134,13 @@ class _Builder(HTMLParser):
                 names = names[:i]
         if tag in _CLOSES:
             ends, fence = _CLOSES[tag]
+            upto = len(names)
             for i in range(len(names) - 1, -1, -1):
                 if names[i] in fence:
                     break
                 if names[i] in ends:
-                    self._close(i)
-                    break
+                    upto = i
+            self._close(upto)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "head":
