@@ -231,15 +231,16 @@ def train(sample: dict[str, list[str]], s: Settings) -> Model:
 
 
 def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence, sentences, languages) of documents(doc_id, text, lang).
+    """(doc_id, seg_no, lang, confidence, sentences, languages, label) of documents(doc_id, text, lang).
 
     One row per longest run of sentences in one language, counted from 1; languages is how many
     the document has. confidence is the share of the costlier best rival that the segment's
     language saves. Null, empty and letterless texts give no row; repeated rows count each.
-    With no labelled text at all there is no row. lang is used for training only.
+    With no labelled text at all there is no row. label is the language that the document's own
+    label names; labels tell nothing but what the model is trained on. One pass, no shuffle.
     """
     sample = labelled_sample(documents, s)
-    schema = "doc_id bigint, seg_no int, lang string, confidence double, sentences int, languages int"
+    schema = "doc_id bigint, seg_no int, lang string, confidence double, sentences int, languages int, label string"
     if not sample:
         return documents.sparkSession.createDataFrame([], schema)
     model = train(sample, s)
@@ -251,16 +252,16 @@ def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFra
             each = [[letters(y, model.neutral) for y in sentences(x or "")] for x in b.column("text").to_pylist()]
             bits = model.bits([y for x in each for y in x], s.piece)
             out, at = [], 0
-            for doc, parts in zip(b.column("doc_id").to_pylist(), each, strict=True):
+            for doc, label, parts in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), each, strict=True):
                 own = bits[at : at + len(parts)]
                 at += len(parts)
                 if len(parts):
-                    out += [(doc, *x) for x in _segments(own, model.languages, s.change)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "seg_no", "lang", "confidence", "sentences", "languages"])
+                    out += [(doc, *x, label) for x in _segments(own, model.languages, s.change)]
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "seg_no", "lang", "confidence", "sentences", "languages", "label"])
 
-    return documents.select("doc_id", "text").where("text <> ''").mapInArrow(run, schema)
+    return documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("text <> ''").mapInArrow(run, schema)
 
 
 def _segments(bits: np.ndarray, languages: list[str], change: float) -> list[tuple]:
@@ -277,7 +278,5 @@ def _segments(bits: np.ndarray, languages: list[str], change: float) -> list[tup
 
 def mislabelled(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The segments of documents whose label is missing, meaningless or another language's, or that mix languages."""
-    segments = segment_languages(documents, s)
-    labels = documents.select("doc_id", label_language(F.col("lang")).alias("label"))
     wrong = (F.col("languages") > 1) | ~F.col("label").eqNullSafe(F.col("lang"))
-    return segments.join(labels, "doc_id").where(wrong).select("doc_id", "seg_no", "lang", "confidence")
+    return segment_languages(documents, s).where(wrong).select("doc_id", "seg_no", "lang", "confidence")

@@ -140,7 +140,7 @@ def _compiled():
     if any(not _UNUSUAL.match(c) for c in [*one, *marks]):
         raise ValueError("a usual character would be changed")
     hidden = _class(k for k, v in one.items() if not v)
-    cluster = re.compile(f"[{_class([*one, *marks])}]|[^{_class(marks)}][{hidden}]*[{_class(marks)}][{_class(marks)}{hidden}]*")
+    cluster = re.compile(f"[^{_class(marks)}][{hidden}]*[{_class(marks)}][{_class(marks)}{hidden}]*|[{_class([*one, *marks])}]")
     word = re.compile(f"[{la}{cy}{gr}{_class(marks)}]+")
     own = [re.compile(f"[{_RANGES[a]}]") for a in ALPHABETS]
     ambiguous = set().union(*lookalikes().values())
