@@ -40,13 +40,16 @@ def destination(href: str) -> str:
     return href
 
 
+_EMPTY = dict.fromkeys(_COLUMNS)
+
+
 class Markdown:
     """A renderer of one document; footnotes are numbered from first and defined at the end."""
 
     def __init__(self, nodes: list[dict], first: int = 1):
         self.kids: dict[int | None, list[dict]] = {}
         for n in nodes:
-            self.kids.setdefault(n["parent_pre"], []).append(n)
+            self.kids.setdefault(n["parent_pre"], []).append(_EMPTY | n)
         self.notes: list[str] = []
         self.first = first
 

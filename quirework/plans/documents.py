@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions import render
 from quirework.functions import text as T
 from quirework.operators import blocks, links, passes, styles, tree
-from quirework.session import prepare, table
+from quirework.session import prepare, stored, table
 from quirework.sources.epub import read_epub, to_epub
 from quirework.sources.html import html_nodes
 
@@ -35,8 +35,10 @@ def query(sql: str | None = None):
     return add
 
 
-def nodes_of(t) -> DataFrame:
-    return html_nodes(t("chapters"), "chapter_key", "document")
+def nodes_of(t, again: bool = False) -> DataFrame:
+    """The chapters' nodes; written once where a query joins them with themselves."""
+    nodes = html_nodes(t("chapters"), "chapter_key", "document")
+    return stored(nodes, "nodes") if again else nodes
 
 
 @query("WITH e AS (SELECT unnest(regexp_extract_all(document, '<([a-z0-9]+)', 1)) AS tag FROM chapters) SELECT tag, count(*) AS n FROM e WHERE tag NOT IN ('html', 'head', 'title', 'link') GROUP BY 1")
@@ -51,28 +53,28 @@ def q_roles(t):
 
 @query(rf"SELECT chapter_key AS doc_key, 2 AS level, title FROM (SELECT chapter_key, {_said("regexp_extract(document, '(?s)<h2>(.*?)</h2>', 1)")} AS title FROM chapters WHERE contains(document, '<h2>')) WHERE title <> ''")
 def q_headings(t):
-    return blocks.headings(nodes_of(t)).select("doc_key", "level", "title")
+    return blocks.headings(nodes_of(t, again=True)).select("doc_key", "level", "title")
 
 
 @query(rf"SELECT chapter_key AS doc_key, coalesce(nullif({_said("regexp_extract(document, '(?s)<h2>(.*?)</h2>', 1)")}, ''), source_path) AS title FROM chapters")
 def q_h1_title(t):
     c = t("chapters")
-    return blocks.chapter_title(nodes_of(t), c.select(F.col("chapter_key").alias("doc_key"), F.col("source_path").alias("path")))
+    return blocks.chapter_title(nodes_of(t, again=True), c.select(F.col("chapter_key").alias("doc_key"), F.col("source_path").alias("path")))
 
 
 @query(rf"WITH p AS (SELECT chapter_key, regexp_extract_all(document, '(?s)<p(?: [^>]*)?>(.*?)</p>', 1) AS ps FROM chapters WHERE contains(document, '<p')), e AS (SELECT chapter_key, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS n FROM p) SELECT chapter_key AS doc_key, 1 AS section_ord, n::INTEGER AS block_ord, 'Paragraph' AS role, {_said('x')} AS text FROM e")
 def q_blocks(t):
-    return blocks.section_blocks(nodes_of(t))
+    return blocks.section_blocks(nodes_of(t, again=True))
 
 
 @query("SELECT chapter_key AS doc_key, 1 AS ord, 2 AS level, NULL::INTEGER AS parent_ord FROM chapters WHERE contains(document, '<h2>')")
 def q_outline_sections(t):
-    return blocks.sections(nodes_of(t)).select("doc_key", "ord", "level", "parent_ord")
+    return blocks.sections(nodes_of(t, again=True)).select("doc_key", "ord", "level", "parent_ord")
 
 
 @query()
 def q_outline(t):
-    return blocks.outline(blocks.sections(nodes_of(t)))
+    return blocks.outline(blocks.sections(nodes_of(t, again=True)))
 
 
 @query()
@@ -87,7 +89,7 @@ def q_image_only(t):
 
 @query("SELECT chapter_key AS doc_key, len(regexp_extract_all(document, '<(p|h2|section)[ >]')) AS below FROM chapters WHERE contains(document, '<body')")
 def q_descendants(t):
-    n = nodes_of(t).where("tag <> '#text'")
+    n = nodes_of(t, again=True).where("tag <> '#text'")
     body = n.where("tag = 'body'")
     return tree.descendants(n, body).groupBy("doc_key").agg((F.count("*") - 1).alias("below"))
 
@@ -100,17 +102,17 @@ def q_children(t):
 
 @query()
 def q_vacuum(t):
-    return passes.vacuum(nodes_of(t)).groupBy("role").agg(F.count("*").alias("n"))
+    return passes.vacuum(nodes_of(t, again=True)).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query()
 def q_prune(t):
-    return passes.prune(passes.vacuum(nodes_of(t))).groupBy("tag").agg(F.count("*").alias("n"))
+    return passes.prune(passes.vacuum(nodes_of(t, again=True))).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query()
 def q_wrap_runs(t):
-    return passes.wrap_runs(passes.vacuum(nodes_of(t)))
+    return passes.wrap_runs(passes.vacuum(nodes_of(t, again=True)))
 
 
 @query()
@@ -185,7 +187,7 @@ def q_cascade(t):
 
 @query(r"""WITH p AS (SELECT unnest(regexp_extract_all(document, '<p( class="c1")?', 1)) AS c FROM chapters) SELECT CASE WHEN coalesce(c, '') = '' THEN '1rem' ELSE '0.9rem' END AS value, count(*) AS n FROM p GROUP BY 1""")
 def q_font_sizes(t):
-    n = nodes_of(t)
+    n = nodes_of(t, again=True)
     own = styles.cascade(n, _CSS).where("property = 'font-size'").join(n.where("tag = 'p'").select("doc_key", "pre"), ["doc_key", "pre"], "left_semi")
     return own.groupBy("value").agg(F.count("*").alias("n"))
 
@@ -229,6 +231,6 @@ def q_epub_chapters(t):
 @query(rf"SELECT c.chapter_key AS doc_key, count(*) AS links, {_said("any_value(regexp_extract(document, '(?s)<h2>(.*?)</h2>', 1))")} AS title FROM (SELECT chapter_key, document, unnest(regexp_extract_all(document, ' href=')) FROM chapters) c GROUP BY 1")
 def q_flagship(t):
     """Every chapter with its title and how many links it has."""
-    titles = blocks.headings(nodes_of(t)).groupBy("doc_key").agg(F.min_by("title", "pre").alias("title"))
+    titles = blocks.headings(nodes_of(t, again=True)).groupBy("doc_key").agg(F.min_by("title", "pre").alias("title"))
     n = t("chapters").select(F.col("chapter_key").alias("doc_key"), F.size(F.regexp_extract_all("document", F.lit("( href=)"), F.lit(1))).cast("bigint").alias("links")).where("links > 0")
     return n.join(titles, "doc_key", "left").select("doc_key", "links", "title")

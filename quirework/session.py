@@ -69,3 +69,10 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """Tasks that run at a time, for sizing Python stages."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as tasks run at a time, if it comes in fewer: a few large row
+    groups would leave most cores idle in a Python stage. Larger inputs pass as they are."""
+    n = tasks(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

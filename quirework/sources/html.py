@@ -8,12 +8,15 @@ is a range or equality predicate inside one document.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quirework.session import spread
+
 MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset(("script", "style"))
@@ -64,7 +67,10 @@ ROLES = {
     }.items()
     for tag in tags.split()
 }
-ATTRIBUTES = ("href", "src", "alt", "id", "title", "lang", "epub_type", "aria_role", "datetime", "class", "style")
+#: Columns of plain attributes, and the names under which they come.
+_NAMES = {"href": ("href",), "src": ("src",), "alt": ("alt",), "id": ("id", "xml:id"), "title": ("title",), "lang": ("lang", "xml:lang"), "epub_type": ("epub:type",), "aria_role": ("role",), "datetime": ("datetime",), "class": ("class",), "style": ("style",)}
+_NOWHERE = frozenset(("meta", "link", "base", *RAW))
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SCHEMA = (
     "doc_key bigint, pre int, `end` int, depth int, sib int, parent_pre int, tag string, role string, level int, text string, "
     "href string, src string, alt string, id string, title string, lang string, epub_type string, aria_role string, datetime string, class string, style string, "
@@ -73,6 +79,7 @@ SCHEMA = (
 _FIELDS = [f.strip().strip("`").split(" ")[0].strip("`") for f in SCHEMA.split(",")]
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 _ARROW = [_TYPES[f.strip().rsplit(" ", 1)[1]] for f in SCHEMA.split(",")]
+_ALWAYS = ("pre", "end", "depth", "sib", "parent_pre", "tag", "text", "role")
 _CODE = re.compile(r"(?:^|\s)lang(?:uage)?-(\S+)")
 
 
@@ -85,39 +92,67 @@ def _number(value: str | None, least: int) -> int | None:
     return n if least < n < 1 << 31 else None
 
 
-class _Builder(HTMLParser):
+_TOKEN = re.compile(
+    r"""<!--(?:.*?-->|[^>]*>?)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"""
+    r"""|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+class _Builder:
+    """Builds the rows of one document token by token."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[tuple[str, int]] = []
         self.children = [0]
-        self.head = self.deep = self.raw = 0
+        self.head = False
+        self.deep = 0
 
-    def _row(self, tag: str, text: str | None, attrs: dict) -> int:
-        parent = self.open[-1][1] if self.open else None
+    def feed(self, text: str) -> None:
+        at, n = 0, len(text)
+        while at < n:
+            m = _TOKEN.search(text, at)
+            if m is None:
+                self.data(text[at:])
+                return
+            if m.start() > at:
+                self.data(text[at : m.start()])
+            at = m.end()
+            if m["end"]:
+                self.close_tag(m["end"].lower())
+            elif m["start"]:
+                tag, attrs = m["start"].lower(), m["attrs"]
+                self.open_tag(tag, attrs)
+                if tag in RAW:
+                    stop = _RAW_END[tag].search(text, at)
+                    at = stop.end() if stop else n
+                elif attrs.endswith("/") and tag not in VOID:
+                    self.close_tag(tag)
+            elif m["cdata"]:
+                self.data(m["cdata"], plain=True)
+
+    def _row(self, tag: str, text: str | None) -> dict:
         depth = len(self.open)
-        at = len(self.rows)
-        sib = self.children[depth]
+        row = {"pre": len(self.rows), "end": len(self.rows), "depth": depth, "sib": self.children[depth], "parent_pre": self.open[-1][1] if self.open else None, "tag": tag, "text": text}
         self.children[depth] += 1
-        get = lambda k: (attrs.get(k) or "").strip() or None
-        classes = get("class")
-        code = _CODE.search(classes or "") if tag in ("code", "pre") else None
-        self.rows.append(
-            {
-                "pre": at, "end": at, "depth": depth, "sib": sib, "parent_pre": parent, "tag": tag,
-                "role": "Text" if tag == "#text" else ROLES.get(tag, "Container"),
-                "level": int(tag[1]) if re.fullmatch("h[1-6]", tag) else None,
-                "text": text, "href": get("href"), "src": get("src"), "alt": get("alt"), "id": get("id") or get("xml:id"),
-                "title": get("title"), "lang": get("lang") or get("xml:lang"), "epub_type": get("epub:type"), "aria_role": get("role"),
-                "datetime": get("datetime"), "class": classes, "style": get("style"),
-                "list_start": _number(attrs.get("start"), 1) if tag == "ol" else None,
-                "row_span": _number(attrs.get("rowspan"), 1) if tag in ("td", "th") else None,
-                "col_span": _number(attrs.get("colspan"), 1) if tag in ("td", "th") else None,
-                "is_header_cell": True if tag == "th" else None,
-                "language": code.group(1) if code else None,
-            }
-        )
-        return at
+        self.rows.append(row)
+        return row
+
+    def _attributes(self, row: dict, tag: str, attrs: dict) -> None:
+        for name, keys in _NAMES.items():
+            for k in keys:
+                if value := (attrs.get(k) or "").strip():
+                    row[name] = value
+                    break
+        if tag == "ol":
+            row["list_start"] = _number(attrs.get("start"), 1)
+        if tag in ("td", "th"):
+            row["row_span"], row["col_span"] = _number(attrs.get("rowspan"), 1), _number(attrs.get("colspan"), 1)
+        if tag in ("code", "pre") and (code := _CODE.search(attrs.get("class") or "")):
+            row["language"] = code.group(1)
 
     def _close(self, upto: int) -> None:
         while len(self.open) > upto:
@@ -126,89 +161,93 @@ class _Builder(HTMLParser):
             self.children.pop()
 
     def _implied(self, tag: str) -> None:
-        names = [t for t, _ in self.open]
-        if tag in _ENDS_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not set(names[i:]) & {"table", "button", "td", "th"}:
-                self._close(i)
-                names = names[:i]
+        if tag in _ENDS_P:
+            for i in range(len(self.open) - 1, -1, -1):
+                name = self.open[i][0]
+                if name in ("table", "button", "td", "th"):
+                    break
+                if name == "p":
+                    self._close(i)
+                    break
         if tag in _CLOSES:
             ends, fence = _CLOSES[tag]
-            upto = len(names)
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in fence:
+            upto = len(self.open)
+            for i in range(len(self.open) - 1, -1, -1):
+                name = self.open[i][0]
+                if name in fence:
                     break
-                if names[i] in ends:
+                if name in ends:
                     upto = i
             self._close(upto)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "head":
-            self.head += 1
-        if tag in RAW:
-            self.raw += 1
-        if tag in ("html", "head") or self.head or self.raw or tag in ("meta", "link", "base"):
-            if tag == "body":
-                self.head = 0
-            else:
+    def open_tag(self, tag: str, text: str) -> None:
+        if tag in ("html", "head"):
+            self.head = self.head or tag == "head"
+            return
+        if self.head:
+            if tag != "body":
                 return
-        values = dict(reversed(attrs))
-        if re.search(r"display\s*:\s*none", values.get("style") or "", re.I) and tag != "br":
-            self.deep += tag not in VOID
+            self.head = False
+        if tag in _NOWHERE:
             return
-        if self.deep:
+        attrs = {}
+        if "=" in text or text.strip("/ "):
+            for k, x, y, z in _ATTRIBUTE.findall(text):
+                value = x or y or z
+                attrs.setdefault(k.lower(), unescape(value) if "&" in value else value)
+        if (style := attrs.get("style")) and tag != "br" and _HIDDEN.search(style) or self.deep:
             self.deep += tag not in VOID
             return
         self._implied(tag)
         if len(self.open) > MAX_DEPTH:
             self.deep += tag not in VOID
             return
-        at = self._row(tag, None, values)
+        row = self._row(tag, None)
+        if attrs:
+            self._attributes(row, tag, attrs)
         if tag not in VOID:
-            self.open.append((tag, at))
+            self.open.append((tag, row["pre"]))
             self.children.append(0)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def close_tag(self, tag: str) -> None:
         if tag == "head":
-            self.head = 0
-            return
-        if tag in RAW:
-            self.raw = max(0, self.raw - 1)
-            return
-        if self.head or tag in VOID or tag == "html":
+            self.head = False
+        if self.head or tag in VOID or tag in _NOWHERE or tag in ("html", "head"):
             return
         if self.deep:
             self.deep -= 1
             return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            name = self.open[i][0]
+            if name == tag:
                 self._close(i)
                 return
-            if self.open[i][0] in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
+            if name in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
                 return
 
-    def handle_data(self, data: str) -> None:
-        if self.head or self.raw or self.deep or not data or (not self.open and not data.strip()):
+    def data(self, text: str, plain: bool = False) -> None:
+        if self.head or self.deep or not (self.open or text.strip()):
             return
-        self._row("#text", data, {})
+        self._row("#text", unescape(text) if "&" in text and not plain else text)
 
 
 def parse_html(html: str | None) -> list[dict]:
     """Node rows of one document; head, scripts, styles, comments and hidden elements give none.
 
-    Unclosed and misnested elements are repaired by implied end tags, not by adoption.
-    """
+    Unclosed and misnested elements are repaired by implied end tags, not by adoption. A row has
+    the columns that it has a value for, besides those of structure."""
     if not html:
         return []
     builder = _Builder()
     builder.feed(html)
-    builder.close()
     builder._close(0)
+    for row in builder.rows:
+        tag = row["tag"]
+        row["role"] = "Text" if tag == "#text" else ROLES.get(tag, "Container")
+        if row["role"] == "Heading":
+            row["level"] = int(tag[1])
+        if tag == "th":
+            row["is_header_cell"] = True
     return builder.rows
 
 
@@ -220,16 +259,28 @@ def html_nodes(documents: DataFrame, key: str, html: str) -> DataFrame:
         for b in batches:
             for start in range(0, b.num_rows, 256):  # a row of input gives hundreds of rows of output
                 part = b.slice(start, 256)
-                out: list[list] = [[] for _ in _FIELDS]
+                keys: list[int | None] = []
+                full: dict[str, list] = {name: [] for name in _ALWAYS}
+                sparse: dict[str, list[tuple]] = defaultdict(list)
                 for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     try:
                         rows = parse_html(text)
                     except Exception as e:  # noqa: BLE001
-                        rows = [{"pre": 0, "end": 0, "depth": 0, "sib": 0, "tag": "#error", "role": "Error", "error": f"{type(e).__name__}: {e}"}]
-                    for row in rows:
-                        row["doc_key"] = k
-                        for column, name in zip(out, _FIELDS, strict=True):
-                            column.append(row.get(name))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW, strict=True)], _FIELDS)
-
-    return documents.select(documents[key].cast("bigint").alias("doc_key"), documents[html].alias("html")).mapInArrow(run, SCHEMA)
+                        rows = [{"pre": 0, "end": 0, "depth": 0, "sib": 0, "parent_pre": None, "tag": "#error", "text": None, "role": "Error", "error": f"{type(e).__name__}: {e}"}]
+                    first = len(keys)
+                    keys += [k] * len(rows)
+                    for name, column in full.items():
+                        column += [r[name] for r in rows]
+                    for i, row in enumerate(rows, first):
+                        if len(row) > len(full):
+                            for name, value in row.items():
+                                if name not in full and value is not None:
+                                    sparse[name].append((i, value))
+                columns = {"doc_key": keys, **full}
+                for name, held in sparse.items():
+                    columns[name] = column = [None] * len(keys)
+                    for i, value in held:
+                        column[i] = value
+                yield pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(len(keys), t) for name, t in zip(_FIELDS, _ARROW, strict=True)], _FIELDS)
+
+    return spread(documents.select(documents[key].cast("bigint").alias("doc_key"), documents[html].alias("html"))).mapInArrow(run, SCHEMA)
