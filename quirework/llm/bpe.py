@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import stored
+from quirework.session import spread, stored
 
 # Fixed value: how the vocabulary's texts are cut into words; (?U) gives \s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,7 +147,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     repeated ids too, as words are joined by the text's hash. path is on the driver's disk,
     and must be on the workers' for words of more than FOLDED bytes.
     """
-    documents = documents.select("doc_id", "text")
+    documents = spread(documents.select("doc_id", "text"))
     words = stored(word_table(documents, path), "encoded")
     first = words.orderBy(F.desc("n"), "word").limit(COMMON).collect()
     common = _slotted({r["word"]: r["ids"] for r in first}, "array<int>")

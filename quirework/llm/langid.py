@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.session import spread
+
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "pl", "ru")
 # The codes and English names of the languages.
 LABELS = {
@@ -261,7 +263,7 @@ def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFra
             types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "seg_no", "lang", "confidence", "sentences", "languages", "label"])
 
-    return documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("text <> ''").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("text <> ''")).mapInArrow(run, schema)
 
 
 def _segments(bits: np.ndarray, languages: list[str], change: float) -> list[tuple]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.session import spread
+
 # Letters of the same look as Latin, Cyrillic and Greek capitals and small letters; "-" where there is none.
 LOOKALIKES = """
 A А Α
@@ -212,7 +214,7 @@ def unclean_cells(cells: DataFrame) -> DataFrame:
             rows = b.select(["field", "row_key", "pos"]).take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sums, pa.string())], ["field", "row_key", "pos", "clean_md5"])
 
-    return cells.select("field", "row_key", "pos", "text").where("text <> ''").mapInArrow(run, "field string, row_key bigint, pos int, clean_md5 string")
+    return spread(cells.select("field", "row_key", "pos", "text").where("text <> ''")).mapInArrow(run, "field string, row_key bigint, pos int, clean_md5 string")
 
 
 def text_cells(books: DataFrame, chapters: DataFrame) -> DataFrame:
