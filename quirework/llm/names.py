@@ -56,9 +56,11 @@ william bill will billy willy
 # Abbreviations of words in names of organisations.
 SHORT = """
 association assoc assn
+book bk
 editions eds edn
 foundation found fdn
 history hist
+house hse
 institute inst
 library lib libr
 literary lit
