@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import documents, reference, training
+from quirework.plans import books, documents, reference, training
 
-MODULES = [training, reference, documents]
+MODULES = [training, reference, documents, books]
 
 
 def queries() -> dict:
