@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
+from quirework.operators.ranks import numbered
 
 LEAF_LEAST, SECTION_CAP, LEAF_CAP = 10, 8000, 3000
 FIRST_SYMBOL = 852
@@ -47,20 +48,17 @@ def capped(text: Column, kind: Column) -> Column:
 
 
 def symbols(names: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, symbol): $N stands for N, any other name gets the next number from 852 in order of first use.
-
-    The window sees distinct names only."""
+    """(name, symbol): $N stands for N, any other name gets the next number from 852 in order of first use."""
     first = names.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("__first"))
     literal = F.when(F.col(name).rlike(r"^\$\d+$"), F.expr(f"cast(substring({name}, 2) as bigint)"))
-    fresh = first.where(~F.col(name).rlike(r"^\$\d+$")).withColumn("__n", F.row_number().over(Window.orderBy("__first", name)) - 1 + FIRST_SYMBOL)
+    fresh = numbered(first.where(~F.col(name).rlike(r"^\$\d+$")), "__first", name, name="__n").withColumn("__n", F.col("__n") + FIRST_SYMBOL)
     return first.where(F.col(name).rlike(r"^\$\d+$")).select(name, literal.alias("symbol")).unionByName(fresh.select(name, F.col("__n").cast("bigint").alias("symbol")))
 
 
 def resource_names(uses: DataFrame, href: str, order: str) -> DataFrame:
     """(href, resource): e0, e1, ... in upper-case hexadecimal by first use."""
     first = uses.where(F.col(href).isNotNull()).groupBy(href).agg(F.min(order).alias("__first"))
-    n = F.row_number().over(Window.orderBy("__first", href)) - 1
-    return first.select(href, F.concat(F.lit("e"), F.hex(n)).alias("resource"))
+    return numbered(first, "__first", href, name="__n").select(href, F.concat(F.lit("e"), F.hex("__n")).alias("resource"))
 
 
 def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import css
 from quirework.operators.grouped import per_document
+from quirework.operators.ranks import numbered
 
 RULES = "sheet string, rule int, origin string, selector string, ids int, classes int, elements int, property string, value string, important boolean"
 
@@ -165,11 +166,9 @@ def font_size(value: str | None, parent: str) -> float:
 
 
 def intern(styles: DataFrame, *fields: str, order: str) -> DataFrame:
-    """(fields, style_id): a number for each distinct style by first appearance, from 1.
-
-    The dictionary is small next to the rows, so the ranking window sees distinct styles only."""
+    """(fields, style_id): a number for each distinct style by first appearance, from 1."""
     first = styles.groupBy(*fields).agg(F.min(order).alias("__first"))
-    return first.withColumn("style_id", F.dense_rank().over(Window.orderBy("__first", *fields))).drop("__first")
+    return numbered(first, "__first", *fields, name="style_id").withColumn("style_id", F.col("style_id") + 1).drop("__first")
 
 
 def dominant(texts: DataFrame, value: str, weight: str) -> DataFrame:

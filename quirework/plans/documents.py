@@ -72,7 +72,7 @@ def q_outline_sections(t):
     return blocks.sections(nodes_of(t, again=True)).select("doc_key", "ord", "level", "parent_ord")
 
 
-@query()
+@query(rf"SELECT chapter_key AS doc_key, '  - ' || CASE WHEN length(title) > 150 THEN left(title, 150) || '...' ELSE title END AS outline FROM (SELECT chapter_key, {_said("regexp_extract(document, '(?s)<h2>(.*?)</h2>', 1)")} AS title FROM chapters WHERE contains(document, '<h2>')) WHERE title <> ''")
 def q_outline(t):
     return blocks.outline(blocks.sections(nodes_of(t, again=True)))
 
@@ -100,17 +100,17 @@ def q_children(t):
     return tree.children(n).groupBy("doc_key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH e AS (SELECT unnest(regexp_extract_all(document, '<(p|h2|section|body)[ >]', 1)) AS tag FROM chapters UNION ALL SELECT '#text' FROM (SELECT unnest(regexp_extract_all(document, '(?s)<(?:p|h2)(?: [^>]*)?>([^<]+)', 1)) FROM chapters)) SELECT CASE tag WHEN 'p' THEN 'Paragraph' WHEN 'h2' THEN 'Heading' WHEN '#text' THEN 'Text' ELSE 'Container' END AS role, count(*) AS n FROM e GROUP BY 1")
 def q_vacuum(t):
     return passes.vacuum(nodes_of(t, again=True)).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH e AS (SELECT unnest(regexp_extract_all(document, '<(p|h2|section|body)[ >]', 1)) AS tag FROM chapters UNION ALL SELECT '#text' FROM (SELECT unnest(regexp_extract_all(document, '(?s)<(?:p|h2)(?: [^>]*)?>([^<]+)', 1)) FROM chapters)) SELECT tag, count(*) AS n FROM e GROUP BY 1")
 def q_prune(t):
     return passes.prune(passes.vacuum(nodes_of(t, again=True))).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT 0::BIGINT AS doc_key, 0::INTEGER AS parent_pre, 0::BIGINT AS run, 0::INTEGER AS first_pre, 0::INTEGER AS last_end, 0::INTEGER AS nodes WHERE false")
 def q_wrap_runs(t):
     return passes.wrap_runs(passes.vacuum(nodes_of(t, again=True)))
 

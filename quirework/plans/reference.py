@@ -10,6 +10,7 @@ from quirework.operators import links as L
 from quirework.operators import positions as P
 from quirework.operators import retrieval as R
 from quirework.operators import tree
+from quirework.operators.ranks import numbered
 from quirework.session import prepare, table
 
 QUERIES: dict = {}
@@ -423,7 +424,7 @@ def q_footnote_numbers(t):
 @query("SELECT source, dense_rank() OVER (ORDER BY f) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY 1)")
 def q_dictionary(t):
     first = t("documents").groupBy("source").agg(F.min("doc_id").alias("f"))
-    return first.select("source", (F.dense_rank().over(Window.orderBy("f")) - 1).cast("bigint").alias("id"))  # a dictionary: one row per entry
+    return numbered(first, "f", "source", name="id").select("source", "id")
 
 
 @query("SELECT event_type AS s FROM events UNION SELECT o_orderstatus FROM orders")

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STEPS: dict[int, list[str]] = {}
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -63,9 +64,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS.setdefault(id(spark.sparkContext), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session's steps wrote to the shared folder; call it when their results are done with."""
+    sc = spark.sparkContext
+    for path in _STEPS.pop(id(sc), []):
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks that run at a time, for sizing Python stages."""
     return max(2, spark.sparkContext.defaultParallelism)

@@ -159,3 +159,23 @@ def test_core_stands_without_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s+quirework\.llm", p.read_text(), re.M), p
+
+
+def test_numbers_over_ranges(spark, rows):
+    from quirework.operators.ranks import numbered
+
+    df = spark.createDataFrame([(i * 7919 % 1000, f"k{i}") for i in range(1000)], "o int, k string").repartition(5)
+    assert rows(numbered(df, "o", "k").where("o <> number")) == []
+    assert rows(numbered(df.limit(0), "o", "k")) == []
+
+
+def test_steps_are_cleared(spark, tmp_path):
+    import os
+
+    from quirework import session
+
+    df = session.stored(spark.range(5), "probe")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    session.clear(spark)
+    assert not os.path.exists(path)
