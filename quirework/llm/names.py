@@ -77,7 +77,7 @@ IDLE = frozenset("dr prof mr mrs ms miss sir dame rev phd jr sr the of for and a
 PARTICLES = frozenset("van von de di da del der den la le du dos das".split())
 FORMAL = {short: line.split()[0] for line in (NICKNAMES + SHORT).split("\n") if line for short in line.split()}
 #: A token of at most RARE names, or of FEW times fewer than another, may be a slip of that one.
-RARE, FEW, LEAST = 2, 10, 5
+RARE, FEW, LEAST = 3, 10, 5
 
 _PIECE = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 
