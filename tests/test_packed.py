@@ -13,7 +13,7 @@ TERMS = ["Letters, French", "Letters", "Bookbinding; selected works", "FICTION /
         ("Letters, quiet tides", ["Letters", "quiet tides"]),
         ("Letters, Frenchy", ["Letters", "Frenchy"]),
         ("a / FICTION / Astronomy / General / b", ["a", "FICTION / Astronomy / General", "b"]),
-        ("Bookbinding\; selected works; x", ["Bookbinding; selected works", "x"]),
+        (r"Bookbinding\; selected works; x", ["Bookbinding; selected works", "x"]),
         ("Cookery, Manuals, handbooks, etc. ; y ;", ["Cookery, Manuals, handbooks, etc.", "y"]),
         ('"so-called ""lonely"" mystery", Letters, French', ['so-called "lonely" mystery', "Letters, French"]),
         ("“Unlisted, One”, b", ["Unlisted, One", "b"]),
