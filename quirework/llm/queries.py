@@ -53,11 +53,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, share): documents that say an item's passage in other words."""
+    prepare(spark)
+    return leakage.find_paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence): the segments of every document that has sentences."""
+    prepare(spark)
+    return langid.segment_languages(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang", "confidence")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chapter_key, class_id, links): each chapter's class of exact copies and how many other classes are similar to it."""
+    prepare(spark)
+    pairs, members = neardup.near_duplicate_classes(neardup.keyed(table(spark, sf_dir, "chapters"), "chapter_key", "document"), neardup.DOCUMENTS)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(links, "rep", "left").select(F.col("key").alias("chapter_key"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seg_no, lang): the segments of documents whose label doesn't tell their language."""
     prepare(spark)
     return langid.mislabelled(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p2_classes": p2_classes, "p8_paraphrases": p8_paraphrases, "p9_segments": p9_segments}
 ORACLE: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
