@@ -1,8 +1,8 @@
 """Text that was decoded with the wrong encoding, found and restored.
 
-Cells that agree on all that is left without their non-ASCII characters are near-twins. Each
-rarer twin is aligned run by run with the commonest one, and the transformations (read with one
-encoding, meant in another) that explain the alignment get a vote. The voted transformations are
+Cells that agree on all that is left without their non-ASCII characters are near-twins. Every
+transformation (read with one encoding, meant in another) that turns a text into a near-twin
+that is there gets its vote. The voted transformations are
 then applied to every cell; a restored cell must be likelier than the cell as it stands, by how
 often its characters occur in such surroundings over all cells.
 """
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -226,47 +227,44 @@ def _part_utf8(text: str, votes: dict[tuple[str, str], int], model: Likelihood)
     return max(options)[2] if options else None
 
 
-def _aligned(bad: str, good: str) -> bool:
-    """Whether two texts differ in their non-ASCII runs only, run by run."""
-    return RUN.sub("\0", bad) == RUN.sub("\0", good)
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def twin_votes(cells: DataFrame) -> DataFrame:
-    """(read, meant, votes): transformations that turn a text into its commoner near-twin.
+    """(read, meant, votes): transformations that turn a text into another text of the cells.
 
-    Each rarer text of a skeleton is held against the commonest one only, so a skeleton that
-    many texts share costs one comparison a text.
+    What a transformation makes of a text has the text's skeleton, run by run, so its twins are
+    found by an equality join of restored with given texts: linear in texts, whatever share a
+    skeleton. A text gives a transformation one vote, in however many rounds.
     """
+    pairs = hypotheses()
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text")
-            bare = [RUN.sub("", x) for x in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([texts, pa.array(bare, pa.string())], ["text", "bare"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in b.column("text").to_pylist()], pa.binary())], ["whole"])
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bad, good in zip(b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True):
-                for x, y in ((bad, good), (good, bad)):
-                    if _aligned(x, y):
-                        for pair in hypotheses():
-                            step = x
-                            for _ in range(ROUNDS):
-                                step = undo(step, *pair)
-                                if step is None or step == y:
-                                    break
-                            if step == y:
-                                seen[pair] += 1
-        rows = [(*pair, n) for pair, n in seen.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["read", "meant", "votes"])
-
-    one = cells.where(F.length("text") != F.octet_length("text")).groupBy("text").agg(F.count("*").alias("n")).select("text", "n")
-    bare = one.select("text").mapInArrow(skeletons, "text string, bare string").join(one, "text").withColumn("key", F.xxhash64("bare"))
-    best = bare.groupBy("key").agg(F.max_by("text", F.struct("n", F.negative(F.octet_length("text")), "text")).alias("good"), F.count("*").alias("variants")).where("variants > 1").select("key", "good")
-    pairs = bare.join(best, "key").where("text <> good").select("text", "good")
-    return pairs.mapInArrow(vote, "read string, meant string, votes bigint").groupBy("read", "meant").agg(F.sum("votes").alias("votes"))
+            source, whole, which = [], [], []
+            for text in b.column("text").to_pylist():
+                own = _digest(text)
+                for i, pair in enumerate(pairs):
+                    step = text
+                    for _ in range(ROUNDS):
+                        step = undo(step, *pair)
+                        if step is None or step == text:
+                            break
+                        source.append(own)
+                        whole.append(_digest(step))
+                        which.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(source, pa.binary()), pa.array(whole, pa.binary()), pa.array(which, pa.int32())], ["source", "whole", "which"])
+
+    one = cells.where(F.length("text") != F.octet_length("text")).select("text").distinct()
+    there = one.mapInArrow(given, "whole binary")
+    met = one.mapInArrow(undone, "source binary, whole binary, which int").join(there, "whole").select("source", "which").distinct()
+    names = F.array(*[F.struct(F.lit(r).alias("read"), F.lit(m).alias("meant")) for r, m in pairs])
+    return met.groupBy("which").agg(F.count("*").alias("votes")).select(F.element_at(names, F.col("which") + 1).alias("x"), "votes").select("x.read", "x.meant", "votes")
 
 
 def context_counts(cells: DataFrame) -> DataFrame:

@@ -52,3 +52,9 @@ def test_votes_and_cells(spark, rows):
     got = {r[0]: r[2] for r in rows(M.restore_garbled(cells))}
     assert got == {**{15 + i: SOUND[i] for i in range(5)}, None: "é là"}
     assert rows(M.restore_garbled(cells.limit(0))) == []
+
+
+def test_twins_that_are_not_the_commonest_of_their_skeleton(spark, rows):
+    texts = ["серым", "долг", "небом"] * 3 + ["ночной", "ночной".encode().decode("cp437")]
+    cells = spark.createDataFrame([(i, "title", t) for i, t in enumerate(texts)], "record_id bigint, field string, text string")
+    assert ("cp437", "utf_8", 1) in rows(M.twin_votes(cells))
