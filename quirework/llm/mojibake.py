@@ -31,6 +31,8 @@ ROUNDS = 3
 CONTEXT_LIMIT = 200_000
 #: By how many nats a changed character, and in all, a single-byte reading must be likelier: voted for, or not.
 MARGIN, MARGIN_UNVOTED, LEAST, LEAST_UNVOTED = 1.0, 2.0, 2.0, 3.0
+#: How many UTF-8 sequences make a reading of a whole text in unknown characters: voted for, or not.
+SEQUENCES, SEQUENCES_UNVOTED = 3, 4
 
 RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
@@ -175,7 +177,7 @@ def restore(text: str, votes: dict[tuple[str, str], int], model: Likelihood) ->
         return ""
     best, sure = text, False
     for _ in range(ROUNDS):
-        step = _whole_utf8(best, model)
+        step = _whole_utf8(best, votes, model)
         sure = sure or step is not None
         step = step or _part_utf8(best, votes, model)
         if step is None:
@@ -200,10 +202,13 @@ def restore(text: str, votes: dict[tuple[str, str], int], model: Likelihood) ->
     return best if best != text else None
 
 
-def _whole_utf8(text: str, model: Likelihood) -> str | None:
-    """A text that is UTF-8 from end to end once read back; a single sequence must give a known character."""
-    found = set(RUN.findall(text))
-    for read in READ_AS:
+def _whole_utf8(text: str, votes: dict[tuple[str, str], int], model: Likelihood) -> str | None:
+    """A text that is UTF-8 from end to end once read back; the best reading by known characters, likelihood and votes.
+
+    A reading must be in known characters, or of several sequences. One without votes must be
+    likelier than the text by a margin, or have a sequence more."""
+    found, options, as_is = set(RUN.findall(text)), [], None
+    for i, read in enumerate(READ_AS):
         table = _bytes_of(read)
         if _leads(read).isdisjoint(text):
             continue
@@ -212,9 +217,14 @@ def _whole_utf8(text: str, model: Likelihood) -> str | None:
         except (KeyError, UnicodeDecodeError):
             continue
         got = RUN.sub(lambda m, runs=runs: runs[m.group()], text)
-        if got != text and (model.known(got) or sum(c >= "\x80" for c in got) >= 3 and not any("\u0250" <= c < "\u0370" and c not in "ˆ˜" for c in got)):
-            return got
-    return None
+        if got == text:
+            continue
+        n, known, total = votes.get((read, "utf_8"), 0), model.known(got), model.total_of(got)
+        as_is = model.total_of(text) if as_is is None else as_is
+        many = sum(c >= "\x80" for c in got) >= (SEQUENCES if n else SEQUENCES_UNVOTED) and not any("\u0250" <= c < "\u0370" and c not in "ˆ˜" for c in got)
+        if many or known and (n or total - as_is > LEAST_UNVOTED):
+            options.append((known, total + math.log1p(n), -i, got))
+    return max(options)[3] if options else None
 
 
 def _part_utf8(text: str, votes: dict[tuple[str, str], int], model: Likelihood) -> str | None:

@@ -58,3 +58,11 @@ def test_twins_that_are_not_the_commonest_of_their_skeleton(spark, rows):
     texts = ["серым", "долг", "небом"] * 3 + ["ночной", "ночной".encode().decode("cp437")]
     cells = spark.createDataFrame([(i, "title", t) for i, t in enumerate(texts)], "record_id bigint, field string, text string")
     assert ("cp437", "utf_8", 1) in rows(M.twin_votes(cells))
+
+
+def test_readings_of_whole_texts_are_ranked_and_weighed():
+    bad = "les h" + "ä".encode().decode("iso8859_15") + "user"
+    model = _model(["die häuser"] * 9)
+    assert model.known("À") and M.restore(bad, {}, model) == "les häuser"
+    unknown = _sloppy("ĝĥĵ".encode())
+    assert M.restore(unknown, {}, model) is None and M.restore(unknown, {("cp1252", "utf_8"): 2}, model) == "ĝĥĵ"
