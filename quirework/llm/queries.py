@@ -26,7 +26,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, field, restored): the garbled title and description cells."""
     prepare(spark)
-    return mojibake.restore_garbled(mojibake.header_cells(table(spark, sf_dir, "exth_headers")))
+    return mojibake.restore_garbled(mojibake.header_cells(table(spark, sf_dir, "exth_headers"), table(spark, sf_dir, "mobi_headers")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
