@@ -352,11 +352,11 @@ class Likelihood:
         keys = list(contexts(text))
         return sum(math.log(self.counts.get(fine, 0) + 0.01 * self.counts.get(kind, 0) + 0.01) - self.total for fine, kind in zip(keys[::2], keys[1::2], strict=True))
 
-    def mean(self, keys: Counter) -> float:
-        """Mean log frequency of the letters of some contexts, between kinds of neighbours."""
+    def mean(self, keys: Counter) -> float | None:
+        """Mean log frequency of the letters of some contexts, between kinds of neighbours; None without letters."""
         own = {c: k for c, k in keys.items() if c[0] == "~" and c[2].isalpha()}
         n = sum(own.values())
-        return sum(k * math.log(self.counts.get(c, 0) + 0.01) for c, k in own.items()) / n if n else 0.0
+        return sum(k * math.log(self.counts.get(c, 0) + 0.01) for c, k in own.items()) / n if n else None
 
     def known(self, text: str) -> bool:
         return all(self.chars[c] > 0 for c in set("".join(RUN.findall(text))))
@@ -418,7 +418,8 @@ def _part_utf8(text: str, learned: list[tuple[str, str, int]], model: Likelihood
     for read, meant, votes in learned:
         if meant == "utf_8" and _sequence(read).search(text) and (got := _as_utf8(text, read)) is not None and model.known(got) and (total := model.total_of(got)) > model.total_of(text):
             before, after = Counter(contexts(text)), Counter(contexts(got))
-            if model.mean(after - before) > model.mean(before - after) - FALL:
+            come, go = model.mean(after - before), model.mean(before - after)
+            if come is None or go is None or come > go - FALL:
                 options.append((total + DECLARED * (declared == read), votes, got))
     return max(options)[2] if options else None
 
