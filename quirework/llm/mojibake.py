@@ -457,7 +457,7 @@ def twins(words: DataFrame, cells: DataFrame) -> DataFrame:
     """
     skeleton = F.regexp_replace("word", "[^\\x00-\\x7f]+", "\u0001")
     whole = words.select(skeleton.alias("key"), F.col("word").alias("form"), F.lit(0).alias("size"), "n").where(F.length(F.regexp_replace("key", "[^A-Za-z]", "")) >= LETTERS)
-    forms = whole.unionByName(_stretch_counts(cells))
+    forms = stored(whole.unionByName(_stretch_counts(cells)), "forms")
     best = forms.groupBy("key").agg(F.max_by(F.struct("form", "size"), F.struct("n", -F.length("form"), "form")).alias("x"), F.count("*").alias("forms"))
     best = best.where("forms > 1 and x.size < 2").select("key", F.col("x.form").alias("clean"))
     return forms.join(best, "key").where("form <> clean").select("form", "clean", "size")

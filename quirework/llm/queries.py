@@ -35,6 +35,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_pairs(names.typed_names(table(spark, sf_dir, "books"), table(spark, sf_dir, "exth_headers")))
 
 
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, entity, variants): each distinct name with its entity and how many names mean the same."""
+    prepare(spark)
+    return names.name_entities(names.typed_names(table(spark, sf_dir, "books"), table(spark, sf_dir, "exth_headers")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of every document."""
     prepare(spark)
@@ -79,5 +85,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.mislabelled(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p2_classes": p2_classes, "p8_paraphrases": p8_paraphrases, "p9_segments": p9_segments}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p2_classes": p2_classes, "p8_paraphrases": p8_paraphrases, "p9_segments": p9_segments}
 ORACLE: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

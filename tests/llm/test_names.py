@@ -1,5 +1,7 @@
 from itertools import combinations
 
+import pytest
+
 from quirework.llm import names as N
 
 GROUPS = [
@@ -24,8 +26,34 @@ def test_variants(spark, rows):
 
 
 def test_slips(spark, rows):
-    counted = spark.createDataFrame([("norjavufal", 9), ("norjaavufal", 1), ("nrojavufal", 1), ("norjavuful", 1), ("norjavxxal", 1), ("other", 5), ("othex", 4)], "token string, df bigint")
-    assert sorted(rows(N.slips(counted))) == [("norjaavufal", "norjavufal"), ("norjavuful", "norjavufal"), ("nrojavufal", "norjavufal")]
+    counted = spark.createDataFrame([("norjavufal", 9), ("norjaavufal", 1), ("nrojavufal", 1), ("norjavuful", 1), ("norjavxxal", 1), ("other", 5), ("othex", 4), ("katherine", 1), ("kathrine", 7), ("hkon", 1), ("håkon", 3), ("abc", 1), ("abd", 1)], "token string, df bigint")
+    want = [("norjaavufal", "norjavufal"), ("norjavuful", "norjavufal"), ("nrojavufal", "norjavufal"), ("othex", "other"), ("kathrine", "katherine"), ("hkon", "håkon")]
+    assert sorted(rows(N.slips(counted))) == sorted(want)
+
+
+def test_soft_similarity():
+    assert N.distance("abcd", "abdc") == 1 and N.distance("abcd", "") == 3 and N.distance("kitten", "sitten") == 1
+    assert N.soft("othex", "other") == 0.8 and N.soft("abc", "abd") == 0 and N.soft("j.", "j.") == 1
+    rare, common = 8.0, 2.0
+    assert N.similarity([("norjavufal", rare), ("lucía", common)], [("norjavuful", rare + 2), ("lucía", common)]) > 0.9
+    assert N.similarity([("norjavufal", rare), ("lucía", common)], [("norjavufal", rare), ("tomasz", common)]) == 0
+    assert N.similarity([("norjavufal", rare)], [("norjavufal", rare), ("press", common)]) > N.similarity([("norjavufal", common)], [("norjavufal", common), ("press", rare)])
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_more_data_of_the_same_kind_change_no_link(spark, rows, times):
+    """A slip of 3 names against 9, and of 12 against 36; every copy of the corpus has families of its own."""
+    names = []
+    for family in ("Borqafapul", "Dokkizopur", "Tirzaweval", "Lanlisapom")[:times]:
+        slip = family[:5] + "x" + family[6:]
+        names += [f"{family}, {g}" for g in ("Katherine", "Dorothea", "Tomasz")] + [f"Katherine {slip}", f"{slip}, Katherine", f"T. {slip}"]
+    got = rows(N.name_pairs(spark.createDataFrame([(n,) for n in names], "name string")))
+    assert len(got) == times * 4
+
+
+def test_entities(spark, rows):
+    got = rows(N.name_entities(spark.createDataFrame([("Bill Sumnatuvus",), ("Sumnatuvus, William",), ("Tomasz Fempulusos",)], "name string")))
+    assert sorted(r[2] for r in got) == [1, 2, 2] and len({r[1] for r in got}) == 2
 
 
 def test_empty_and_odd(spark, rows):
