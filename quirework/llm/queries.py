@@ -72,11 +72,17 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chapter_key, class_id, links): each chapter's class of exact copies and how many other classes are similar to it."""
+    """(field, key, class_id, links): each chapter's and title's class of exact copies and how many other classes are similar to it."""
     prepare(spark)
-    pairs, members = neardup.near_duplicate_classes(neardup.keyed(table(spark, sf_dir, "chapters"), "chapter_key", "document"), neardup.DOCUMENTS)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(links, "rep", "left").select(F.col("key").alias("chapter_key"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    def classes(field: str, texts: DataFrame, s: neardup.Settings) -> DataFrame:
+        pairs, members = neardup.near_duplicate_classes(texts, s)
+        links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        return members.join(links, "rep", "left").select(F.lit(field).alias("field"), "key", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    documents = neardup.keyed(table(spark, sf_dir, "chapters"), "chapter_key", "document")
+    titles = neardup.keyed(table(spark, sf_dir, "books"), "record_id", "title")
+    return classes("chapters.document", documents, neardup.DOCUMENTS).unionByName(classes("books.title", titles, neardup.TITLES))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
