@@ -2,8 +2,8 @@
 
 ``normalise_dates`` parses each value, puts zone-less times on the clock of their feed and
 writes UTC instants or plain dates. ``judge_zones`` and ``best_zones`` find the clock of feeds that name
-none: it aligns local times with reference instants of the same item and pick, of the
-candidate zones, the offset history that contradicts the fewest of them.
+none: they align local times with the nearest instants of the same item and with the times of
+ingestion, and pick, of all zones there are, the offset history that violates the fewest of them.
 """
 
 from __future__ import annotations
@@ -11,16 +11,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
-from functools import lru_cache
-from zoneinfo import ZoneInfo
+from functools import cache, lru_cache
+from zoneinfo import ZoneInfo, available_timezones
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.session import stored
+
 UTC = timezone.utc
-#: More zones than there are.
-MOST_ZONES = 2000
+#: Hours by which a clock may be off UTC, and by which an aligned time may differ from its instant.
+MOST_HOURS = 15
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 # Month names of the languages that feeds write, without final dots.
@@ -112,7 +114,7 @@ def instant_text(t: datetime) -> str:
 def parse_date(raw: str | None, zone_name: str | None, day_first: bool | None):
     """(norm, local): norm is the final text or None where no real date is stated; local is the
     wall time as text where norm rests on the feed's clock. With no zone known, norm is None and
-    local tells what there is to align."""
+    local tells what there is to align, with the zone's abbreviation behind a space where one stands."""
     text = " ".join((raw or "").split())
     if not text:
         return None, None
@@ -169,6 +171,8 @@ def _read(g: dict, zone_name: str | None, day_first: bool | None):
     name = (g.get("ab") or g.get("ab2") or "").upper()
     if name == "Z":
         return instant_text(local.replace(tzinfo=UTC)), None
+    if name and name not in ("UTC", "GMT", "UT") and zone_name is None and not g.get("iana"):
+        return None, local.isoformat(timespec="microseconds") + " " + name
     if name:
         zone = _zone(g["iana"] if g.get("iana") else zone_name or "UTC")
         return instant_text((local - _abbreviated(local, name, zone)).replace(tzinfo=UTC)), None
@@ -181,82 +185,122 @@ def _read(g: dict, zone_name: str | None, day_first: bool | None):
 
 
 def parsed_values(values: DataFrame, feeds: DataFrame) -> DataFrame:
-    """(src, record_id, item, feed, norm, local) of each value; a feed that isn't listed has no clock."""
+    """(src, record_id, item, feed, ingested, norm, local) of each value; a feed that isn't listed has no clock."""
     return _parsed(values.join(feeds.select("feed", "zone_name", "day_first"), "feed", "left"))
 
 
 def _parsed(values: DataFrame) -> DataFrame:
-    """Adds norm and local to values(src, record_id, item, raw, zone_name, day_first)."""
+    """Adds norm and local to values(src, record_id, item, feed, raw, zone_name, day_first[, ingested])."""
+    if "ingested" not in values.columns:
+        values = values.withColumn("ingested", F.lit(None).cast("timestamp"))
+    kept = ("src", "record_id", "item", "feed", "raw", "day_first", "ingested")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [parse_date(*x) for x in zip(*(b.column(c).to_pylist() for c in ("raw", "zone_name", "day_first")), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("src", "record_id", "item", "feed")), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())],
-                ["src", "record_id", "item", "feed", "norm", "local"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], [*kept, "norm", "local"])
 
-    return values.select("src", "record_id", "item", "feed", "raw", "zone_name", "day_first").mapInArrow(run, "src string, record_id bigint, item string, feed string, norm string, local string")
+    schema = "src string, record_id bigint, item string, feed string, raw string, day_first boolean, ingested timestamp, norm string, local string"
+    return values.select(*kept, "zone_name").mapInArrow(run, schema)
 
 
 def _offset_at(zone_name: Column, local: Column) -> Column:
     """Seconds by which a zone's clock is ahead of UTC at a wall time."""
-    return F.unix_timestamp(local.cast("timestamp")) - F.unix_timestamp(F.to_utc_timestamp(local.cast("timestamp"), zone_name))
+    return F.unix_timestamp(local) - F.unix_timestamp(F.to_utc_timestamp(local, zone_name))
+
 
+@cache
+def world_zones() -> dict[str, tuple[str, ...]]:
+    """Each zone of the world that is a place, with the abbreviations its clock has shown since 1970."""
+    out = {}
+    for name in sorted(available_timezones()):
+        if "/" in name and not name.startswith(("Etc/", "SystemV/", "US/", "posix/", "right/")):
+            zone = _zone(name)
+            out[name] = tuple(sorted({datetime(y, m, 1, tzinfo=zone).tzname() for y in range(1970, 2038, 2) for m in (1, 7)}))
+    return out
 
-def judge_zones(parsed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """How each candidate zone fits each feed: (feed, zone_name, aligned, violations).
 
-    parsed(item, feed, norm, local): values of one item that state a zone are reference
-    instants; the local times of the same item are aligned with the nearest of them, and the
-    difference, to a quarter of an hour, is the offset seen. Offsets are first counted by feed
-    and offset and month of the wall time, so that a feed holding most rows costs no more than
-    another. A candidate's violations are the times at which its history has another offset.
-    A feed without aligned times has no row. Nulls never align. candidates is a list of zones,
-    of which the world has some hundreds; they become a literal.
+def aligned_offsets(parsed: DataFrame) -> DataFrame:
+    """(feed, kind, at, ahead, n): what the times of each feed tell of its clock, counted by hour of the wall time.
+
+    kind "=": a local time lies ahead seconds from the nearest instant that another value of its item
+    states, to a quarter of an hour. kind ">": the clock is at least ahead seconds fast, as the value was
+    ingested when it was; only such times tell something that are within MOST_HOURS of it. kind "z":
+    ahead is null and the abbreviation stands in name. Local times and instants of an item are made
+    distinct and meet by day, so an item of most rows costs no more than its different times.
     """
-    known = parsed.where(F.col("norm").endswith("Z") & F.col("local").isNull()).groupBy("item").agg(F.min("norm").alias("ref")).withColumn("ref", F.col("ref").cast("timestamp"))
-    seen = (
-        parsed.where(F.col("local").isNotNull())
-        .join(known, "item")
-        .select("feed", F.col("local").cast("timestamp").alias("at"), (F.round((F.unix_timestamp(F.col("local").cast("timestamp")) - F.unix_timestamp("ref")) / 900) * 900).cast("int").alias("ahead"))
-        .where(F.abs("ahead") <= 15 * 3600)
-        .groupBy("feed", "ahead", F.date_trunc("hour", "at").alias("at"))
-        .agg(F.count("*").alias("n"))
-    )
-    zones = [r[0] for r in candidates.select("zone_name").where("zone_name is not null").distinct().orderBy("zone_name").limit(MOST_ZONES).collect()]
-    tried = seen.withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")))
-    wrong = F.sum(F.when(F.abs(_offset_at(F.col("zone_name"), F.col("at")) - F.col("ahead")) > 450, F.col("n")).otherwise(0))
-    return tried.groupBy("feed", "zone_name").agg(F.sum("n").alias("aligned"), wrong.alias("violations"))
+    hours = MOST_HOURS * 3600
+    when = F.to_timestamp(F.substring_index("local", " ", 1))
+    locals_ = parsed.where("local is not null").select("item", "feed", "ingested", when.alias("at"), F.when(F.instr("local", " ") > 0, F.substring_index("local", " ", -1)).alias("name"))
+    plain = locals_.where("name is null")
+    counted = plain.where("item is not null").groupBy("item", "feed", "at").agg(F.count("*").alias("n"))
+    refs = parsed.where("norm like '%Z' and local is null and item is not null").select("item", F.to_timestamp("norm").alias("ref")).distinct().withColumn("day", F.to_date("ref"))
+    days = F.explode(F.array(*[F.date_add(F.to_date("at"), i) for i in (-1, 0, 1)]))
+    gap = F.unix_timestamp("at") - F.unix_timestamp("ref")
+    met = counted.withColumn("day", days).join(refs, ["item", "day"]).withColumn("gap", gap).where(F.abs("gap") <= hours)
+    nearest = met.groupBy("item", "feed", "at", "n").agg(F.min_by("gap", F.struct(F.abs("gap"), "ref")).alias("gap"))
+    hour = F.date_trunc("hour", "at").alias("at")
+    none = F.lit(None).cast("string").alias("name")
+    same = nearest.groupBy("feed", hour, (F.round(F.col("gap") / 900) * 900).cast("long").alias("ahead")).agg(F.sum("n").alias("n")).select("feed", F.lit("=").alias("kind"), "at", "ahead", none, "n")
+    late = F.unix_timestamp("at") - F.unix_timestamp("ingested")
+    least = plain.withColumn("ahead", (F.floor(late / 900) * 900).cast("long")).where(F.abs("ahead") <= hours).groupBy("feed", hour, "ahead").agg(F.count("*").alias("n")).select("feed", F.lit(">").alias("kind"), "at", "ahead", none, "n")
+    named = locals_.where("name is not null").groupBy("feed", "name").agg(F.count("*").alias("n")).select("feed", F.lit("z").alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("ahead"), "name", "n")
+    return same.unionByName(least).unionByName(named)
+
+
+def judge_zones(parsed: DataFrame, zones: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """How each zone fits each feed: (feed, zone_name, aligned, violations).
+
+    parsed(item, feed, ingested, norm, local); zones are names with the abbreviations they show, all of
+    the world's if none are given; they become a literal. A zone's violations are the aligned times
+    at which its history has another offset, the times that it puts after their ingestion, and the
+    abbreviations that it never shows. A feed without anything aligned has no row. Nulls never align.
+    """
+    zones = world_zones() if zones is None else zones
+    seen = aligned_offsets(parsed)
+    listed = F.array(*[F.struct(F.lit(z).alias("zone_name"), F.array(*map(F.lit, names)).cast("array<string>").alias("shown")) for z, names in sorted(zones.items())])
+    tried = seen.withColumn("z", F.explode(listed)).select("feed", "kind", "at", "ahead", "name", "n", "z.zone_name", "z.shown")
+    ahead = _offset_at(F.col("zone_name"), F.col("at"))
+    wrong = F.when(F.col("kind") == "=", F.abs(ahead - F.col("ahead")) > 450).when(F.col("kind") == ">", ahead < F.col("ahead")).otherwise(~F.array_contains("shown", F.col("name")))
+    return tried.groupBy("feed", "zone_name").agg(F.sum(F.when(F.col("kind") != ">", F.col("n")).otherwise(0)).alias("aligned"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations")).where("aligned > 0")
+
 
+def best_zones(judged: DataFrame, usual: list[str] = ()) -> DataFrame:
+    """(feed, zone_name, aligned, violations, ties): the zone of each feed with the fewest violations.
 
-def best_zones(judged: DataFrame) -> DataFrame:
-    """The zone of each feed with the fewest violations; ties go to the name that sorts first."""
-    best = F.min(F.struct("violations", "zone_name", "aligned"))
-    return judged.groupBy("feed").agg(best.alias("b")).select("feed", "b.zone_name", "b.aligned", "b.violations")
+    ties is how many zones have so few. Of them a usual one (those that other feeds declare) goes first,
+    then the name that sorts first: nothing aligned tells them apart."""
+    rank = F.struct("violations", (~F.col("zone_name").isin(*usual) if usual else F.lit(True)).alias("odd"), "zone_name", "aligned")
+    best = judged.groupBy("feed").agg(F.min(rank).alias("b"), F.collect_list("violations").alias("all"))
+    return best.select("feed", "b.zone_name", "b.aligned", "b.violations", F.size(F.filter("all", lambda v: v == F.col("b.violations"))).alias("ties"))
 
 
 def normalise_dates(values: DataFrame, feeds: DataFrame, estimate: bool = True) -> DataFrame:
     """(src, record_id, norm): one row per value that states a real date.
 
-    values(src, record_id, item, feed, raw); feeds(feed unique, zone_name, day_first), whose
-    zone_name may be null: then, with estimate, the feed's clock is found by judge_zones
-    among the zones of the other feeds. Times of feeds whose clock stays unknown, placeholders,
-    impossible dates, nulls and empty texts give no row. feeds is broadcast only if Spark
-    knows it to be small.
+    values(src, record_id, item, feed, raw[, ingested]); feeds(feed unique, zone_name, day_first),
+    whose zone_name may be null: then, with estimate, the feed's clock is found by judge_zones among
+    all zones of the world, and its times are read again with it. Times of feeds whose clock stays
+    unknown, placeholders, impossible dates, nulls and empty texts give no row. feeds is broadcast
+    only if Spark knows it to be small.
     """
     known = feeds.select("feed", "zone_name", "day_first")
     first = parsed_values(values, known)
     found = first.where(F.col("norm").isNotNull()).select("src", "record_id", "norm")
     if not estimate or known.where(F.col("zone_name").isNull()).isEmpty():
         return found
-    clocks = best_zones(judge_zones(first, known.where(F.col("zone_name").isNotNull())))
-    late = first.where(F.col("norm").isNull() & F.col("local").isNotNull()).join(clocks.select("feed", "zone_name"), "feed")
-    text = F.concat(F.date_format(F.to_utc_timestamp(F.col("local").cast("timestamp"), F.col("zone_name")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    return found.unionByName(late.select("src", "record_id", text.alias("norm")))
+    first = stored(first, "dates")
+    found = first.where(F.col("norm").isNotNull()).select("src", "record_id", "norm")
+    open_ = first.where("norm is null and local is not null")
+    # Feeds without a clock are judged; what the others state are instants to align with.
+    told = first.where("norm like '%Z'").withColumn("local", F.lit(None).cast("string"))
+    usual = [r[0] for r in known.where("zone_name is not null").groupBy("zone_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "zone_name").limit(len(world_zones())).collect()]
+    clocks = stored(best_zones(judge_zones(open_.unionByName(told)), usual), "clocks")
+    late = _parsed(open_.select("src", "record_id", "item", "feed", "raw", "day_first", "ingested").join(clocks.select("feed", "zone_name"), "feed"))
+    return found.unionByName(late.where("norm is not null").select("src", "record_id", "norm"))
 
 
 def date_values(books: DataFrame, headers: DataFrame) -> DataFrame:
     """The date fields of both tables as one list of values."""
-    one = lambda df, src, col: df.where(F.col(col).isNotNull()).select(F.lit(src).alias("src"), "record_id", F.col("book_id").alias("item"), "feed", F.col(col).alias("raw"))
-    return one(books, "books", "date").unionByName(one(headers, "exth_headers", "pub_date"))
+    one = lambda df, src, col, at: df.where(F.col(col).isNotNull()).select(F.lit(src).alias("src"), "record_id", F.col("book_id").alias("item"), "feed", F.col(col).alias("raw"), F.col(at).cast("timestamp").alias("ingested"))
+    return one(books, "books", "date", "captured_at").unionByName(one(headers, "exth_headers", "pub_date", "loaded_at"))

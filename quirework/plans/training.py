@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.operators import dates, packed
-from quirework.session import prepare, table
+from quirework.session import prepare, stored, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feed, aligned, violations, declared_violations): the clock found for each feed without
-    looking at its declared zone, against what the declared zone gives."""
+    """(feed, zone_name, ties, aligned, violations, declared, declared_violations): the clock found for each
+    feed without looking at any declared zone, how many zones fit as well, and how the declared one fits."""
     prepare(spark)
-    feeds = table(spark, sf_dir, "feeds")
+    feeds = table(spark, sf_dir, "feeds").select("feed", "zone_name", "day_first")
     values = dates.date_values(table(spark, sf_dir, "books"), table(spark, sf_dir, "exth_headers"))
-    parsed = dates.parsed_values(values, feeds)
-    judged = dates.judge_zones(parsed, feeds.select("zone_name"))
-    found = dates.best_zones(judged)
-    declared = judged.join(feeds.select("feed", "zone_name"), ["feed", "zone_name"]).select("feed", F.col("violations").alias("declared_violations"))
-    return found.join(declared, "feed").select("feed", "aligned", "violations", "declared_violations")
+    parsed = stored(dates.parsed_values(values, feeds.withColumn("zone_name", F.lit(None).cast("string"))), "dates")
+    judged = stored(dates.judge_zones(parsed), "judged")
+    declared = judged.join(feeds.select("feed", "zone_name"), ["feed", "zone_name"]).select("feed", F.col("zone_name").alias("declared"), F.col("violations").alias("declared_violations"))
+    return dates.best_zones(judged).join(declared, "feed", "left").select("feed", "zone_name", "ties", "aligned", "violations", "declared", "declared_violations")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
