@@ -56,7 +56,7 @@ class Settings:
 _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|section|blockquote|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _STOP = re.compile(r"(?<=[.!?…])[\"'”’»“)\]]*\s+|\n+|(?<=[.!?…])[”»\"]+(?=\S)")
-_NO_WORD = re.compile(r"\S*(?:[/\\@]|\w\.\w)\S*|\S*\d\S*")
+_NO_WORD = re.compile(r"[/\\@\d]|\w\.\w")
 _NOT_LETTER = re.compile(r"[^\w']+|[\d_]+")
 
 
@@ -69,10 +69,15 @@ def label_language(label: Column) -> Column:
 def sentences(text: str) -> list[str]:
     """The sentences of a text: cut at stops, line ends and block tags. Paths, addresses and
     numbers are no words of a language; what has no letters besides is no sentence."""
-    text = _TAG.sub(" ", _BLOCK.sub("\n", text))
+    if "<" in text:
+        text = _TAG.sub(" ", _BLOCK.sub("\n", text))
     if "&" in text:
         text = html.unescape(text)
-    return [y for x in _STOP.split(text) if x and any(map(str.isalpha, y := _NO_WORD.sub(" ", x)))]
+    return [y for x in _STOP.split(text) if x and any(map(str.isalpha, y := _words_only(x)))]
+
+
+def _words_only(text: str) -> str:
+    return " ".join([w for w in text.split() if not _NO_WORD.search(w)]) if _NO_WORD.search(text) else text
 
 
 def letters(text: str, neutral: frozenset[str] = frozenset()) -> str:
@@ -129,14 +134,14 @@ class Automaton:
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray, translate: np.ndarray) -> np.ndarray:
         """Phrases of each row of codes (rows by descending length): as many as the longest matches that cover it."""
-        symbols = translate[codes]
+        symbols = translate[codes.T]
         state = np.zeros(len(codes), np.int64)
         count = np.ones(len(codes), np.int64)
         active = np.searchsorted(-lengths, -np.arange(1, codes.shape[1] + 1), "right")
         for t, n in enumerate(active):
             if n == 0:
                 break
-            s = symbols[:n, t]
+            s = symbols[t, :n]
             to = self.table[state[:n] * self.width + s]
             missed = to == 0
             count[:n] += missed & (state[:n] > 0) | missed & (s == 0)
@@ -267,6 +272,11 @@ def segment_languages(documents: DataFrame, s: Settings = Settings()) -> DataFra
 
 
 def _segments(bits: np.ndarray, languages: list[str], change: float) -> list[tuple]:
+    best = bits.argmin(axis=1)
+    if (best == best[0]).all():  # then no other way is cheaper anywhere
+        total = bits.sum(axis=0)
+        rival = np.partition(total, 1)[1] if len(total) > 1 else total[0]
+        return [(1, languages[best[0]], float(max(0.0, 1 - total[best[0]] / rival)) if rival else 0.0, len(bits), 1)]
     path = cheapest_path(bits, change)
     starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     out = []
