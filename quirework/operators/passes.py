@@ -1,4 +1,4 @@
-"""Rewriting passes over node rows: each takes nodes and returns nodes, in the order of ``pipeline``.
+"""Rewriting passes over node rows: each takes nodes and returns nodes. ``rewrite`` runs all in one.
 
 Structure is told by (doc_key, pre, end, depth, parent_pre, sib); windows are partitioned by
 document and parent, so no pass sorts more than a document at a time.
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.session import stored
-
 STRUCTURAL = ("Container", "Root", "Figure", "Sidebar", "UnorderedList", "OrderedList", "DefinitionList", "Table", "TableHead", "TableBody", "TableRow", "BlockQuote", "ListItem", "TableCell", "DefinitionDescription")
 BLOCK = (*STRUCTURAL, "Paragraph", "Heading", "CodeBlock", "Rule", "Caption", "DefinitionTerm")
 INLINE = ("Text", "Inline", "Link", "Image", "Break", "Math")
 PRUNABLE = ("Container", "Inline", "Paragraph", "ListItem", "UnorderedList", "OrderedList", "Figure", "Caption", "BlockQuote", "Sidebar")
 WRAPPING = ("Container", "BlockQuote", "ListItem", "TableCell", "Figure", "Sidebar", "DefinitionDescription")
+TRIMMED = ("Paragraph", "Heading", "Caption", "ListItem", "DefinitionTerm", "DefinitionDescription", "BlockQuote", "TableCell", "Container", "Sidebar")
 _PARENT = ["doc_key", "parent_pre"]
 _BLANK = r"(?U)^\s*$"
 
@@ -119,9 +118,9 @@ def trim_edges(nodes: DataFrame) -> DataFrame:
     at = F.when(solid, F.col("pre"))
     n = n.withColumns({"first": F.min(at).over(whole), "last": F.max(at).over(whole)})
     text = F.col("text")
-    text = F.when(F.col("pre") < F.col("first"), "").when(F.col("pre") == F.col("first"), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(text)
+    text = F.when(F.col("first").isNull() | (F.col("pre") < F.col("first")), "").when(F.col("pre") == F.col("first"), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(text)
     text = F.when(F.col("pre") > F.col("last"), "").when(F.col("pre") == F.col("last"), F.regexp_replace(text, r"(?U)\s+$", "")).otherwise(text)
-    trimmed = n.where("role = 'Text' and owner_role <> 'CodeBlock' and first is not null").select("doc_key", "pre", text.alias("__text"))
+    trimmed = n.where((F.col("role") == "Text") & F.col("owner_role").isin(*TRIMMED)).select("doc_key", "pre", text.alias("__text"))
     return nodes.join(trimmed, ["doc_key", "pre"], "left").withColumn("text", F.coalesce("__text", "text")).select(*nodes.columns)
 
 
@@ -162,14 +161,3 @@ def renumber(nodes: DataFrame) -> DataFrame:
     sib = F.row_number().over(Window.partitionBy("doc_key", "parent_pre").orderBy("pre")) - 1
     out = out.withColumn("sib", sib).withColumns({"pre": F.col("__new"), "end": F.col("__end"), "parent_pre": F.col("__parent")})
     return out.select(*nodes.columns)
-
-
-def pipeline(nodes: DataFrame) -> DataFrame:
-    """All passes that drop or join nodes, in order, and dense numbers at the end.
-
-    Passes join nodes with themselves; each is written to the shared folder, or the next would
-    run all before it once a side."""
-    nodes = stored(nodes, "nodes")
-    for step in (vacuum, merge_spans, fuse_lists, trim_edges, prune):
-        nodes = stored(step(nodes), "nodes")
-    return renumber(nodes)

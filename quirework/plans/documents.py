@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import render
 from quirework.functions import text as T
-from quirework.operators import blocks, links, passes, styles, tree
+from quirework.operators import blocks, links, passes, rewrite, styles, tree
 from quirework.session import prepare, stored, table
 from quirework.sources.epub import read_epub, to_epub
 from quirework.sources.html import html_nodes
@@ -21,6 +21,9 @@ def _said(sql: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({sql}, '[\x{{00AD}}\x{{200B}}]', '', 'g'), '{_SPACE}', ' ', 'g'))"
 
 
+_TRIMMED = rf"regexp_replace(regexp_replace(said, '^{_SPACE}', ''), '{_SPACE}$', '')"
+
+
 def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +118,17 @@ def q_wrap_runs(t):
     return passes.wrap_runs(passes.vacuum(nodes_of(t, again=True)))
 
 
-@query()
+@query(
+    rf"""WITH e AS (SELECT chapter_key AS doc_key, unnest(regexp_extract_all(document, '(?s)<(?:p|h2|section|body)[ >][^<]*', 0)) AS x FROM chapters),
+      k AS (SELECT doc_key, regexp_extract(x, '^<([a-z0-9]+)', 1) AS tag, regexp_replace(x, '^<[^>]*>', '') AS said FROM e),
+      u AS (SELECT doc_key, tag, {_TRIMMED} AS said FROM k)
+      SELECT doc_key, CASE tag WHEN 'p' THEN 'Paragraph' WHEN 'h2' THEN 'Heading' ELSE 'Container' END AS role, count(*) AS n, NULL::BIGINT AS chars FROM u WHERE tag <> 'p' OR said <> '' GROUP BY ALL
+      UNION ALL SELECT doc_key, 'Text', count(*), sum(length(said)) FROM u WHERE said <> '' GROUP BY 1"""
+)
 def q_pipeline(t):
-    return passes.pipeline(nodes_of(t)).select("doc_key", "pre", "end", "depth", "sib", "parent_pre", "role", "text")
+    """All eight passes: how often each role is left, with how many characters of text, in each document."""
+    n = rewrite.optimised_nodes(t("chapters"), "chapter_key", "document")
+    return n.groupBy("doc_key", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query()

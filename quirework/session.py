@@ -68,6 +68,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(step: DataFrame) -> None:
+    """Deletes a stored step that nothing will read again, before the query ends."""
+    sc = step.sparkSession.sparkContext
+    for path in step.inputFiles()[:1]:
+        folder = path.rsplit("/", 1)[0]
+        mine = [p for p in _STEPS.get(id(sc), []) if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]
+        for p in mine:
+            at = sc._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            _STEPS[id(sc)].remove(p)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what this session's steps wrote to the shared folder; call it when their results are done with."""
     sc = spark.sparkContext

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -74,9 +74,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SCHEMA = (
     "doc_key bigint, pre int, `end` int, depth int, sib int, parent_pre int, tag string, role string, level int, text string, "
     "href string, src string, alt string, id string, title string, lang string, epub_type string, aria_role string, datetime string, class string, style string, "
-    "list_start int, row_span int, col_span int, is_header_cell boolean, language string, error string"
+    "list_start int, row_span int, col_span int, is_header_cell boolean, language string, dropcap int, error string"
 )
-_FIELDS = [f.strip().strip("`").split(" ")[0].strip("`") for f in SCHEMA.split(",")]
+FIELDS = [f.strip().strip("`").split(" ")[0].strip("`") for f in SCHEMA.split(",")]
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 _ARROW = [_TYPES[f.strip().rsplit(" ", 1)[1]] for f in SCHEMA.split(",")]
 _ALWAYS = ("pre", "end", "depth", "sib", "parent_pre", "tag", "text", "role")
@@ -251,9 +251,9 @@ def parse_html(html: str | None) -> list[dict]:
     return builder.rows
 
 
-def html_nodes(documents: DataFrame, key: str, html: str) -> DataFrame:
+def html_nodes(documents: DataFrame, key: str, html: str, finish: Callable[[list[dict]], list[dict]] | None = None) -> DataFrame:
     """Node rows of every document. Null and empty documents have none; a document that can't
-    be parsed has one row that carries the error."""
+    be parsed has one row that carries the error. finish may rewrite the rows of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,6 +265,7 @@ def html_nodes(documents: DataFrame, key: str, html: str) -> DataFrame:
                 for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     try:
                         rows = parse_html(text)
+                        rows = finish(rows) if finish else rows
                     except Exception as e:  # noqa: BLE001
                         rows = [{"pre": 0, "end": 0, "depth": 0, "sib": 0, "parent_pre": None, "tag": "#error", "text": None, "role": "Error", "error": f"{type(e).__name__}: {e}"}]
                     first = len(keys)
@@ -281,6 +282,6 @@ def html_nodes(documents: DataFrame, key: str, html: str) -> DataFrame:
                     columns[name] = column = [None] * len(keys)
                     for i, value in held:
                         column[i] = value
-                yield pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(len(keys), t) for name, t in zip(_FIELDS, _ARROW, strict=True)], _FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(len(keys), t) for name, t in zip(FIELDS, _ARROW, strict=True)], FIELDS)
 
     return spread(documents.select(documents[key].cast("bigint").alias("doc_key"), documents[html].alias("html"))).mapInArrow(run, SCHEMA)

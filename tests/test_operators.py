@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.operators import blocks, links, passes, positions, retrieval, styles, tree
+from quirework.operators import blocks, links, passes, positions, retrieval, rewrite, styles, tree
 from quirework.sources import epub
 from quirework.sources.html import html_nodes
 
@@ -43,7 +43,7 @@ def test_passes(nodes, rows):
     assert fused.where("role = 'UnorderedList' and doc_key = 1").count() == 1
     assert rows(passes.table_parts(nodes).select("part")) == [("body",), ("head",)]
     assert rows(passes.wrap_runs(clean).where("doc_key = 1").select("nodes")) == [(1,), (1,), (1,)]
-    done = passes.pipeline(nodes).collect()
+    done = rewrite.pipeline(nodes).collect()
     by = {(r.doc_key, r.pre): r for r in done}
     assert sorted(p for k, p in by if k == 1) == list(range(sum(k == 1 for k, _ in by)))
     assert all(r.parent_pre is None or (by[(r.doc_key, r.parent_pre)].pre < r.pre <= r.end <= by[(r.doc_key, r.parent_pre)].end) for r in done)
@@ -179,3 +179,32 @@ def test_steps_are_cleared(spark, tmp_path):
     assert os.path.exists(path)
     session.clear(spark)
     assert not os.path.exists(path)
+
+
+REWRITTEN = """<body><p> <span style="float:left;font-size:3em">O</span>nce <b> upon </b> </p><div>loose <i>run</i><p>block</p> end</div>
+<table><tr><th>h</th></tr><tr><td>d</td></tr></table><ul><li>a</li></ul>
+<ul><li>b</li></ul><div><p> </p></div><p id="x"></p><pre> kept </pre></body>"""
+
+
+def test_all_passes_in_one(spark, rows):
+    docs = spark.createDataFrame([(1, REWRITTEN), (2, None), (3, ""), (4, "<p>only</p>")], "k bigint, h string")
+    done = rewrite.optimised_nodes(docs, "k", "h")
+    one = {r["pre"]: r for r in done.where("doc_key = 1").collect()}
+    tags = [one[i]["tag"] for i in sorted(one)]
+    assert tags == ["body", "p", "span", "#text", "#text", "b", "#text", "div", "#run", "#text", "i", "#text", "p", "#text", "#run", "#text", "table", "thead", "tr", "th", "#text", "tbody", "tr", "td", "#text", "ul", "li", "#text", "li", "#text", "p", "pre", "#text"]
+    assert [r["dropcap"] for r in one.values() if r["dropcap"]] == [3]
+    assert [one[i]["text"] for i in sorted(one) if one[i]["text"] is not None][:3] == ["O", "nce ", " upon"] and " kept " in {r["text"] for r in one.values()}
+    assert all(one[i]["end"] == max(j for j in one if j == i or _below(one, j, i)) for i in one)
+    again = rewrite.pipeline(html_nodes(docs, "k", "h"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, done.collect())) and rows(rewrite.pipeline(done.limit(0))) == []
+
+
+def _below(nodes, j, i):
+    while j is not None and j != i:
+        j = nodes[j]["parent_pre"]
+    return j == i
+
+
+def test_windowed_passes_and_the_single_one_agree(nodes):
+    by_window = passes.renumber(passes.prune(passes.trim_edges(passes.fuse_lists(passes.merge_spans(passes.vacuum(nodes.where("doc_key = 4")))))))
+    assert sorted(map(str, by_window.collect())) == sorted(map(str, rewrite.pipeline(nodes.where("doc_key = 4")).collect()))
