@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from quirework.functions.decoding import decode_bytes, entities_resolved, image_size, lz77_decompress, percent_decoded
+from quirework.functions.decoding import decode_bytes, entities_resolved, image_size, lz77_compress, lz77_decompress, percent_decoded
 
 
 @pandas_udf(StringType())
@@ -33,3 +33,8 @@ def image_dimensions(raw: pd.Series) -> pd.DataFrame:
 @pandas_udf(BinaryType())
 def palmdoc_decompress(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: lz77_decompress(bytes(x)), na_action="ignore")
+
+
+@pandas_udf(BinaryType())
+def palmdoc_compress(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: None if x is None else lz77_compress(bytes(x)))

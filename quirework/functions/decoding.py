@@ -96,3 +96,42 @@ def deobfuscated(raw: bytes, key: bytes, length: int) -> bytes:
     """The first bytes of a font, XORed with a key that repeats."""
     head = bytes(b ^ key[i % len(key)] for i, b in enumerate(raw[:length]))
     return head + raw[length:]
+
+
+def lz77_compress(raw: bytes) -> bytes:
+    """PalmDoc's text compression: back references of 3 to 10 bytes up to 2,047 back, space and letter in
+    one, other bytes as they are or behind a count. The latest place of each three bytes is tried."""
+    out, held, i, n = bytearray(), bytearray(), 0, len(raw)
+    seen: dict[bytes, int] = {}
+
+    def flush() -> None:
+        for at in range(0, len(held), 8):
+            part = held[at : at + 8]
+            out.append(len(part))
+            out.extend(part)
+        held.clear()
+
+    while i < n:
+        key = raw[i : i + 3]
+        at = seen.get(key) if len(key) == 3 else None
+        size = 1
+        if at is not None and i - at < 2048:
+            size = 3
+            while size < 10 and i + size < n and raw[at + size] == raw[i + size]:
+                size += 1
+            flush()
+            out += ((0x8000 | (i - at) << 3 | (size - 3)).to_bytes(2, "big"))
+        elif raw[i] == 0x20 and i + 1 < n and 0x40 <= raw[i + 1] <= 0x7F:
+            flush()
+            out.append(raw[i + 1] ^ 0x80)
+            size = 2
+        elif raw[i] == 0 or 9 <= raw[i] < 0x80:
+            flush()
+            out.append(raw[i])
+        else:
+            held.append(raw[i])
+        for k in range(i, min(i + size, n - 2)):
+            seen[raw[k : k + 3]] = k
+        i += size
+    flush()
+    return bytes(out)

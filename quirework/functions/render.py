@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.operators.grouped import per_document
+from quirework.operators.ranks import running_sum
 
 _COLUMNS = ["doc_key", "pre", "parent_pre", "tag", "role", "level", "text", "href", "src", "alt", "id", "title", "epub_type", "class", "list_start", "row_span", "col_span", "is_header_cell", "language"]
 _STRONG, _EMPHASIS, _CODE, _STRIKE = ("b", "strong"), ("i", "em", "cite", "var", "dfn"), ("code", "kbd", "samp", "tt"), ("s", "strike", "del")
@@ -198,6 +199,19 @@ def to_markdown(nodes: DataFrame) -> DataFrame:
     return per_document(nodes, _COLUMNS, lambda k, rows: [(k, Markdown(rows).render())], "doc_key bigint, markdown string")
 
 
+def numbered_markdown(nodes: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(doc_key, book_id, chapter_id, markdown): footnotes are numbered on through the chapters of a book.
+
+    chapters(doc_key, book_id, chapter_id), doc_key unique. The notes of each chapter are counted first,
+    and summed by ranges of book and chapter."""
+    notes = nodes.where("epub_type = 'footnote'").groupBy("doc_key").agg(F.count("*").alias("notes"))
+    counted = chapters.select("doc_key", "book_id", "chapter_id").join(notes, "doc_key", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
+    first = running_sum(counted, "book_id", "chapter_id", "doc_key", value="notes", name="upto").select("doc_key", "book_id", "chapter_id", (F.col("upto") - F.col("notes") + 1).cast("int").alias("first"))
+    with_first = nodes.join(first.select("doc_key", "first"), "doc_key", "left")
+    done = per_document(with_first, [*_COLUMNS, "first"], lambda k, rows: [(k, Markdown(rows, rows[0]["first"] or 1).render())], "doc_key bigint, markdown string")
+    return done.join(first, "doc_key").select("doc_key", "book_id", "chapter_id", "markdown")
+
+
 # Tags of roles that have one.
 TAGS = {"Paragraph": "p", "Link": "a", "Image": "img", "Break": "br", "Rule": "hr", "UnorderedList": "ul", "OrderedList": "ol", "ListItem": "li", "BlockQuote": "blockquote", "CodeBlock": "pre", "Figure": "figure", "Caption": "figcaption", "Sidebar": "aside", "DefinitionList": "dl", "DefinitionTerm": "dt", "DefinitionDescription": "dd", "Table": "table", "TableHead": "thead", "TableBody": "tbody", "TableRow": "tr", "Container": "div", "Inline": "span"}
 

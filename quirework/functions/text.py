@@ -209,3 +209,40 @@ def retention_words(s: Column) -> Column:
 def word_retention(source: Column, other: Column) -> Column:
     a, b = retention_words(source), retention_words(other)
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
+def without_file_links(html: Column) -> Column:
+    """Links to plain file names, which lead nowhere in a book of one file, lose their href."""
+    return F.regexp_replace(html, r"""(?i)(<a\b[^>]*?)\s+href\s*=\s*(?:"[^"#:/]+\.(?:x?html?|xml)"|'[^'#:/]+\.(?:x?html?|xml)')""", "$1")
+
+
+def without_reader_attributes(html: Column) -> Column:
+    """Attributes that an e-reader's tools left (aid, data-Amzn...) are dropped."""
+    return F.regexp_replace(html, r"""(?i)\s+(?:aid|data-amzn[\w-]*)\s*=\s*(?:"[^"]*"|'[^']*')""", "")
+
+
+def with_alternatives(html: Column) -> Column:
+    """Images without an alt attribute get an empty one."""
+    return F.regexp_replace(html, r"(?i)<img\b(?![^>]*\salt\s*=)", '<img alt=""')
+
+
+def without_namespaces(html: Column) -> Column:
+    """Namespace declarations and attributes with a prefix are dropped, but for xml:lang."""
+    return F.regexp_replace(html, r"""\s+(?:xmlns(?::[\w-]+)?|(?!xml:lang\b)[\w-]+:[\w-]+)\s*=\s*(?:"[^"]*"|'[^']*')""", "")
+
+
+def without_at_rules(css: Column) -> Column:
+    """Style sheets without the rules that old readers can't parse; @media, @font-face, @page and @import stay."""
+    dropped = r"(?is)@(?!media\b|font-face\b|page\b|import\b|charset\b)[\w-]+[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})"
+    return F.regexp_replace(css, dropped, "")
+
+
+def wrapped_html(body: Column, title: Column) -> Column:
+    """A piece of a book as a whole XHTML document; what is one already stays."""
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>'), xml_escape(F.coalesce(title, F.lit(""))), F.lit("</title></head><body>"), F.coalesce(body, F.lit("")), F.lit("</body></html>"))
+    return F.when(body.rlike(r"(?is)^\s*(?:<\?xml[^>]*>\s*)?(?:<!doctype[^>]*>\s*)?<html\b"), body).otherwise(whole)
+
+
+def container_id(seed: Column) -> Column:
+    """A container's name, the same for the same seed: CR! and 28 characters of its digest in base 32."""
+    return F.concat(F.lit("CR!"), F.upper(F.substring(F.translate(F.sha1(F.coalesce(seed, F.lit("")).cast("binary")), "abcdef", "GHJKLM"), 1, 28)))

@@ -134,3 +134,10 @@ def image_only(nodes: DataFrame) -> DataFrame:
     """(doc_key, image_only): exactly one image and no text but blanks."""
     said = F.count_if((F.col("role") == "Text") & ~F.coalesce("text", F.lit("")).rlike(r"(?U)^\s*$"))
     return nodes.groupBy("doc_key").agg(((F.count_if(F.col("role") == "Image") == 1) & (said == 0)).alias("image_only"))
+
+
+def display_math(nodes: DataFrame) -> DataFrame:
+    """(doc_key, pre, display): a formula stands on its own line if nothing else in its parent isn't blank."""
+    kids = nodes.where("parent_pre is not null").select("doc_key", "pre", "parent_pre", "role", ((F.col("role") != "Text") | (F.trim(F.coalesce("text", F.lit(""))) != "")).alias("solid"))
+    alone = kids.groupBy("doc_key", "parent_pre").agg(F.count_if("solid").alias("solids"))
+    return kids.where("role = 'Math'").join(alone, ["doc_key", "parent_pre"]).select("doc_key", "pre", (F.col("solids") == 1).alias("display"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.operators.ranks import last_value
+
 EXTERNAL = r"^(?i)[a-z][a-z0-9+.-]*:"
 
 
@@ -55,13 +57,13 @@ def rewrite(links: DataFrame, overrides: DataFrame, sources: DataFrame, anchors:
 def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str) -> DataFrame:
     """Adds the value of the latest right row not after each left row, else of the first right row.
 
-    Both sides are one stream in a window, so it is a sort by group and time and no range join."""
+    Both sides are one stream sorted by group and time and cut into ranges, so it is no range join and
+    no group is one task."""
     a = left.select(group, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(group, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
-    w = Window.partitionBy(group).orderBy("__at", "__side")
-    first = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return a.unionByName(b).withColumn(value, F.coalesce(last, first)).where("__side = 1").select("__row.*", value)
+    both = last_value(a.unionByName(b), group, "__at", "__side", value="__v", name="__last").where("__side = 1")
+    first = right.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g")).agg(F.min_by(value, at).alias("__first"))
+    return both.join(first, F.col(group).eqNullSafe(F.col("__g")), "left").select("__row.*", F.coalesce("__last", "__first").alias(value))
 
 
 def nearest_in_window(left: DataFrame, right: DataFrame, group: str, at: str, reach: int, value: str) -> DataFrame:

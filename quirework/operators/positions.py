@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.operators.grouped import folded
+from quirework.operators.ranks import running_sum
+from quirework.operators.tree import levels_of
+
 LOCATION, PAGE, RECORD, CHUNK = 150, 1850, 4096, 8192
 
 
 def positions(elements: DataFrame, group: str, order: str, length: str) -> DataFrame:
-    """Adds start: the sum of the lengths before, an element being one long at least."""
+    """Adds start: the sum of the lengths before, an element being one long at least.
+
+    order tells the elements of a group apart; sums run by ranges, so no group is one task."""
     n = F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(1)).cast("bigint")
-    w = Window.partitionBy(group).orderBy(order)
-    return elements.withColumn("size", n).withColumn("start", F.sum("size").over(w) - F.col("size"))
+    return running_sum(elements.withColumn("size", n), group, order, value="size", name="start").withColumn("start", F.col("start") - F.col("size"))
 
 
 def locations(placed: DataFrame, every: int = LOCATION) -> DataFrame:
@@ -36,10 +40,12 @@ def largest_section(elements: DataFrame, section: str, length: str) -> DataFrame
     return elements.groupBy(section).agg(F.sum(F.coalesce(length, F.lit(0))).cast("bigint").alias("total")).orderBy(F.desc("total"), section).limit(1)
 
 
-def toc_spans(entries: DataFrame, group: str, at: str, depth: str, ends: DataFrame, deepest: int = 6) -> DataFrame:
+def toc_spans(entries: DataFrame, group: str, at: str, depth: str, ends: DataFrame, deepest: int | None = None) -> DataFrame:
     """Adds span: how far each entry reaches, to the next entry no deeper than it, else to the end.
 
-    ends(group, stop). Depths are few, so it is one running minimum from the right per depth."""
+    ends(group, stop). It is one running minimum from the right per depth; how deep the entries go is
+    looked up where it isn't given. Deeper than MOST_LEVELS is an error."""
+    deepest = levels_of(entries, depth, deepest)
     later = Window.partitionBy(group).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
     nxt = F.lit(None).cast("bigint")
     out = entries
@@ -68,40 +74,33 @@ def fixed_records(texts: DataFrame, text: str, size: int = RECORD) -> DataFrame:
 def next_fit(pieces: DataFrame, group: str, order: str, size: str, limit: int = CHUNK) -> DataFrame:
     """(group, order, chunk): a new chunk begins once the current one holds limit or more; pieces stay whole.
 
-    The fold is sequential in a group; groups are spread over tasks."""
+    The fold is sequential in a group; it streams through the group's rows in order."""
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        chunk = filled = 0
-        out = []
-        for n in rows[size]:
-            if filled >= limit:
-                chunk, filled = chunk + 1, 0
-            filled += n
-            out.append(chunk)
-        return pd.DataFrame({group: rows[group], order: rows[order], "chunk": out})
+    def step(state: tuple[int, int], row: dict) -> tuple:
+        chunk, filled = state
+        if filled >= limit:
+            chunk, filled = chunk + 1, 0
+        return (chunk, filled + (row[size] or 0)), (row[group], row[order], chunk)
 
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    return pieces.select(group, order, size).groupBy(group).applyInPandas(pack, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, chunk int")
+    return folded(pieces, group, [order], [group, order, size], lambda _: (0, 0), step, f"{group} {kinds[group]}, {order} {kinds[order]}, chunk int")
 
 
 def lpt_pack(items: DataFrame, group: str, key: str, size: str, per_batch: int = 10_000) -> DataFrame:
     """(group, key, batch): the largest first into the lightest of max(1, total / per_batch) batches.
 
-    Halves round to even; ties go to the lower key and the lower batch."""
+    Halves round to even; ties go to the lower key and the lower batch. A task holds the loads of one
+    group's batches, not its rows."""
+    total = items.groupBy(F.col(group).alias("__g")).agg(F.sum(size).alias("__total"))
+    with_total = items.join(total, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__total", F.coalesce("__total", F.lit(0)).cast("bigint"))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([size, key], ascending=[False, True], kind="stable")
-        heap = [(0, b) for b in range(max(1, round(int(rows[size].sum()) / per_batch)))]
-        out = []
-        for n in rows[size]:
-            load, batch = heapq.heappop(heap)
-            out.append(batch)
-            heapq.heappush(heap, (load + int(n), batch))
-        return pd.DataFrame({group: rows[group], key: rows[key], "batch": out})
+    def step(heap: list, row: dict) -> tuple:
+        load, batch = heapq.heappop(heap)
+        heapq.heappush(heap, (load + int(row[size] or 0), batch))
+        return heap, (row[group], row[key], batch)
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.select(group, key, size).groupBy(group).applyInPandas(pack, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, batch int")
+    return folded(with_total, group, [F.desc(size), key], [group, key, size, "__total"], lambda row: [(0, b) for b in range(max(1, round(row["__total"] / per_batch)))], step, f"{group} {kinds[group]}, {key} {kinds[key]}, batch int")
 
 
 def islands(rows: DataFrame, group: str, order: str, same: str) -> DataFrame:

@@ -97,15 +97,15 @@ def gradient_cut(candidates: DataFrame, floor: float = 0.5, drop: float = 1.5) -
     return candidates.withColumn("__ok", ok).withColumn("__all", F.bool_and("__ok").over(w)).where("__all").drop("__ok", "__all")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the lowest node of each connected component.
 
-    Large-star and small-star by turns: stars grow by doubling, so rounds are few. Each round is
-    written to the shared folder, which cuts the lineage."""
+    Large-star and small-star by turns: stars grow by doubling, so rounds are few, and go on until
+    nothing changes. Each is written to the shared folder, which cuts the lineage."""
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     both = lambda x: x.unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         n = both(e)
         low = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = n.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -129,31 +129,30 @@ def merge_entities(links: DataFrame, names: DataFrame, same: DataFrame) -> tuple
     return mapped, links.join(mapped, "key").select(F.col("canonical").alias("key"), "node").distinct()
 
 
-def pagerank(edges: DataFrame, starts: DataFrame, alpha: float = 0.15, rounds: int = 20, dense: int = 5000) -> DataFrame:
-    """(node, rank) of personalised PageRank over an undirected multigraph.
+def pagerank(edges: DataFrame, starts: DataFrame, alpha: float = 0.15, rounds: int = 20, dense: int = 1000) -> DataFrame:
+    """(node, rank) of personalised PageRank over an undirected multigraph: the nodes that starts reach.
 
     edges(a, b), starts(node). Self-loops are dropped, rows normalised, mass at dangling nodes is
-    lost and the ranks renormalised each round. Graphs of up to dense nodes are walked by a
-    matrix in one task, as their edges have a proven bound; larger ones by joins."""
+    lost and the ranks renormalised each round. Graphs of up to dense nodes, which have at most the
+    square of that many different edges, are walked by a matrix in one task, larger ones by joins; both
+    give the same rows. Each round of joins is written once, before its sum is taken."""
     e = edges.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
     e = stored(e, "graph")
     nodes = e.select(F.col("src").alias("node")).unionByName(starts.select("node")).distinct()
     if nodes.count() <= dense:
-        return _dense_rank(e, starts, alpha, rounds)
+        return _dense_rank(e, starts, alpha, rounds).where("rank > 0")
     out = e.groupBy("src").agg(F.sum("n").alias("total"))
     w = stored(e.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "graph")
-    k = starts.select("node").distinct().count()
-    restart = starts.select("node").distinct().withColumn("r", F.lit(1.0 / max(k, 1)))
-    rank = restart.select("node", F.col("r").alias("rank"))
-    for i in range(rounds):
-        moved = rank.join(w, rank.node == w.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("m"))
-        raw = moved.join(restart, "node", "full").select("node", (F.coalesce("m", F.lit(0.0)) * (1 - alpha) + F.coalesce("r", F.lit(0.0)) * alpha).alias("rank"))
-        total = raw.agg(F.sum("rank")).first()[0] or 1.0
-        rank = raw.withColumn("rank", F.col("rank") / total)
-        if i % 5 == 4:
-            rank = stored(rank, "rank")
-    return rank
+    restart = starts.select("node").where("node is not null").distinct()
+    k = max(restart.count(), 1)
+    rank, total = restart.select("node", F.lit(1.0 / k).alias("rank")), 1.0
+    for _ in range(rounds):
+        moved = rank.join(w, rank.node == w.src).select(F.col("dst").alias("node"), (F.col("rank") * F.col("w") * ((1 - alpha) / total)).alias("m"))
+        back = restart.select("node", F.lit(alpha / k).alias("m"))
+        rank = stored(moved.unionByName(back).groupBy("node").agg(F.sum("m").alias("rank")), "rank")
+        total = rank.agg(F.sum("rank")).first()[0] or 1.0
+    return rank.select("node", (F.col("rank") / total).alias("rank"))
 
 
 def _dense_rank(edges: DataFrame, starts: DataFrame, alpha: float, rounds: int) -> DataFrame:

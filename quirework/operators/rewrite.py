@@ -183,13 +183,14 @@ def _size(style: str | None) -> float | None:
 
 def dropcaps(node: Tree) -> None:
     """Marks a first inline node that floats in a font far larger than its paragraph's with its lines."""
-    if node.role != "Paragraph" or not node.kids or node.kids[0].role != "Inline":
+    first = next((k for k in node.kids if k.role != "Text" or k.text), None)
+    if node.role != "Paragraph" or first is None or first.role != "Inline":
         return
-    first, style = node.kids[0], node.kids[0].row.get("style")
+    style = first.row.get("style")
     size, chars = _size(style), sum(len(x.text.strip()) for x in _flow(first))
     if size is None or not _FLOAT.search(style) or not 1 <= chars <= CAP_CHARS:
         return
-    relative = (_SIZE.search(style).group(2).lower() in ("em", "%"))
+    relative = _SIZE.search(style).group(2).lower() in ("em", "%")
     ratio = size if relative else size / (_size(node.row.get("style")) or 1.0)
     if ratio >= CAP_RATIO:
         first.row = first.row | {"dropcap": min(max(round(ratio), 2), 5)}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.session import stored
+
 
 def children(nodes: DataFrame, key: str = "doc_key") -> DataFrame:
     """(key, parent, child, sib)."""
@@ -40,19 +42,34 @@ def inherited(nodes: DataFrame, column: str, key: str = "doc_key") -> DataFrame:
     return every.join(found, [key, "pre"], "left")
 
 
-def nest_parents(edges: DataFrame, child: str, parent: str, depth: int = 64) -> DataFrame:
+#: More levels than any document nests; beyond it a table of parents is taken for a circle.
+MOST_LEVELS = 4096
+
+
+def levels_of(rows: DataFrame, level: str, given: int | None = None) -> int:
+    """The highest level of some rows; more than 64 of them are an error, as each costs a window."""
+    top = given or int(rows.agg(F.max(level)).first()[0] or 1)
+    if top > 64:
+        raise ValueError(f"{level} goes up to {top}: more than 64 levels")
+    return top
+
+
+def nest_parents(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor, distance): the closure of a parent-id table, itself included.
 
-    A loop of joins that ends as soon as a round adds nothing; at most depth rounds."""
+    A loop of joins that ends as soon as a round adds nothing, each written once. A circle of
+    parents is an error: it would never end."""
     level = edges.select(F.col(child).alias("node"), F.col(child).alias("ancestor"), F.lit(0).alias("distance"))
     up = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("ancestor"), F.col(parent).alias("above"))
     out = level
-    for n in range(1, depth + 1):
-        level = level.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(n).alias("distance"))
+    for n in range(1, MOST_LEVELS + 1):
+        level = stored(level.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(n).alias("distance")), "level")
         if level.isEmpty():
-            break
+            return out
+        if not level.where("node = ancestor").isEmpty():
+            raise ValueError(f"{parent} goes round in a circle")
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"{parent} goes up more than {MOST_LEVELS} levels")
 
 
 def breadcrumbs(nodes: DataFrame, title: str, key: str = "doc_key", glue: str = " > ") -> DataFrame:
@@ -66,10 +83,12 @@ def breadcrumbs(nodes: DataFrame, title: str, key: str = "doc_key", glue: str =
     return nodes.select(key, "pre").join(found.select(key, "pre", text.alias("breadcrumb")), [key, "pre"], "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.lit("")))
 
 
-def previous_smaller(rows: DataFrame, group: str, order: str, level: str, levels: int = 6) -> DataFrame:
+def previous_smaller(rows: DataFrame, group: str, order: str, level: str, levels: int | None = None) -> DataFrame:
     """Adds parent_ord: the latest earlier row of strictly smaller level.
 
-    Levels are few, so it is one running maximum per level instead of a stack."""
+    It is one running maximum per level instead of a stack; how many levels there are is looked up
+    where it isn't given."""
+    levels = levels_of(rows, level, levels)
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows
     for k in range(2, levels + 1):

@@ -181,13 +181,16 @@ def q_math(t):
 
 @query("SELECT doc_id, text FROM documents")
 def q_decode_text(t):
-    return t("documents").select("doc_id", codecs.decode_text(F.encode("text", "UTF-8"), F.lit("latin-1")).alias("text"))
+    western = F.col("text").rlike(r"^[\x00-\x7f\xa1-\xff]*\z")
+    raw = F.when(western, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return t("documents").select("doc_id", codecs.decode_text(raw, F.when(western, "latin-1").otherwise("utf-8")).alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x09-\\x7E]+')")
+@query("SELECT doc_id, text FROM documents")
 def q_palmdoc(t):
-    plain = t("documents").where(F.col("text").rlike(r"^[\x09-\x7E]+\z"))
-    return plain.select("doc_id", F.decode(codecs.palmdoc_decompress(F.encode("text", "UTF-8")), "UTF-8").alias("text"))
+    """Every text compressed and decompressed again."""
+    raw = codecs.palmdoc_decompress(codecs.palmdoc_compress(F.encode("text", "UTF-8")))
+    return t("documents").select("doc_id", F.decode(raw, "UTF-8").alias("text"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -196,10 +199,10 @@ def q_percent_round_trip(t):
     return t("documents").select("doc_id", codecs.percent_decode(escaped).alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE NOT contains(text, '&')")
+@query("SELECT doc_id, text FROM documents")
 def q_entities(t):
-    coded = F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&eacute;"))
-    return t("documents").where(~F.col("text").contains("&")).select("doc_id", codecs.resolve_entities(coded).alias("text"))
+    coded = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#x3C;")), F.lit("é"), F.lit("&eacute;"))
+    return t("documents").select("doc_id", codecs.resolve_entities(coded).alias("text"))
 
 
 @query("WITH w AS (SELECT user_id, unnest(range(time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes', time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '1 minute', INTERVAL '30 minutes')) AS start FROM events) SELECT user_id, start, count(*) AS n FROM w GROUP BY 1, 2")

@@ -85,9 +85,11 @@ def q_node_stats(t):
     return blocks.stats(nodes_of(t))
 
 
-@query("SELECT chapter_key AS doc_key, false AS image_only FROM chapters WHERE contains(document, '<body')")
+@query("SELECT chapter_key AS doc_key, chapter_key % 2 = 0 AS image_only FROM chapters")
 def q_image_only(t):
-    return blocks.image_only(nodes_of(t))
+    """A page for every chapter, half of them with nothing but an image."""
+    page = F.when(F.col("chapter_key") % 2 == 0, '<body> <div><img src="a.png"/></div> </body>').otherwise('<body><p>one</p><img src="a.png"/></body>')
+    return blocks.image_only(html_nodes(t("chapters").select("chapter_key", page.alias("page")), "chapter_key", "page"))
 
 
 @query("SELECT chapter_key AS doc_key, len(regexp_extract_all(document, '<(p|h2|section)[ >]')) AS below FROM chapters WHERE contains(document, '<body')")
@@ -113,9 +115,12 @@ def q_prune(t):
     return passes.prune(passes.vacuum(nodes_of(t, again=True))).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0::BIGINT AS doc_key, 0::INTEGER AS parent_pre, 0::BIGINT AS run, 0::INTEGER AS first_pre, 0::INTEGER AS last_end, 0::INTEGER AS nodes WHERE false")
+@query("SELECT chapter_key AS doc_key, unnest([1, 4])::INTEGER AS first_pre, unnest([CASE WHEN chapter_key % 2 = 0 THEN 2 ELSE 1 END, 1])::INTEGER AS nodes FROM chapters WHERE chapter_key % 2 = 1 UNION ALL SELECT chapter_key, unnest([1, 6]), unnest([2, 1]) FROM chapters WHERE chapter_key % 2 = 0")
 def q_wrap_runs(t):
-    return passes.wrap_runs(passes.vacuum(nodes_of(t, again=True)))
+    """A page for every chapter with words before and behind a block."""
+    page = F.when(F.col("chapter_key") % 2 == 0, "<div>loose <i>run</i><p>block</p>end</div>").otherwise("<div>loose<p>block</p>end</div>")
+    n = html_nodes(t("chapters").select("chapter_key", page.alias("page")), "chapter_key", "page")
+    return passes.wrap_runs(passes.vacuum(stored(n, "nodes"))).select("doc_key", "first_pre", "nodes")
 
 
 @query(
@@ -139,7 +144,7 @@ def q_markdown(t):
 @query()
 def q_book_markdown(t):
     c = t("chapters").select(F.col("chapter_key").alias("doc_key"), "book_id", F.struct("chapter_id", "chapter_key").alias("chapter_id"))
-    return render.book_markdown(render.to_markdown(nodes_of(t)).join(c, "doc_key"))
+    return render.book_markdown(render.numbered_markdown(nodes_of(t, again=True), c))
 
 
 @query()

@@ -58,15 +58,16 @@ def q_slug(t):
 @query(
     r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
       text, '([\\*_\[\]`|<>])', '\\\1', 'g'), '(?m)^#', '\\#', 'g'), '(?m)^(-+[ \t]*|=+[ \t]*)$', '\\\1', 'g'),
-      '(?m)^([-+])([ \t]|$)', '\\\1\2', 'g'), '(?m)^(\d+)([.)])([ \t]|$)', '\1\\\2\3', 'g') AS escaped FROM documents WHERE NOT contains(text, '![')"""
+      '(?m)^([-+])([ \t]|$)', '\\\1\2', 'g'), '(?m)^(\d+)([.)])([ \t]|$)', '\1\\\2\3', 'g') AS escaped FROM documents"""
 )
 def q_md_escape(t):
-    return t("documents").where(~F.col("text").contains("![")).select("doc_id", T.markdown_escape(F.col("text")).alias("escaped"))
+    return t("documents").select("doc_id", T.markdown_escape(F.col("text")).alias("escaped"))
 
 
-@query("SELECT doc_id, 3 AS fence, 1 AS ticks FROM documents WHERE text IS NOT NULL AND NOT contains(text, '`')")
+@query("SELECT doc_id, greatest(3, coalesce(n, 0) + 1)::INTEGER AS fence, (coalesce(n, 0) + 1)::INTEGER AS ticks FROM (SELECT doc_id, list_max(list_transform(regexp_extract_all(repeat('`', (doc_id % 6)::INTEGER) || 'x' || text, '`+'), lambda x: length(x))) AS n FROM documents WHERE text IS NOT NULL)")
 def q_fence_len(t):
-    return t("documents").where("text is not null and not contains(text, '`')").select("doc_id", T.fence_length(F.col("text")).alias("fence"), T.inline_ticks(F.col("text")).alias("ticks"))
+    ticked = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit("x"), "text")
+    return t("documents").where("text is not null").select("doc_id", T.fence_length(ticked).alias("fence"), T.inline_ticks(ticked).alias("ticks"))
 
 
 @query("SELECT chapter_key, replace(replace(replace(replace(replace(document, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM chapters")
@@ -220,12 +221,12 @@ def q_er_gradient(t):
     return R.gradient_cut(c, 0.2, 1.1)
 
 
-_FLOW = "SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50"
+_FLOW = "SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
 
 
 def _flow(t) -> DataFrame:
     li, o, c, s = t("lineitem"), t("orders"), t("customer"), t("supplier")
-    joined = li.where("l_quantity >= 50").join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
     return joined.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
 
 
@@ -245,13 +246,14 @@ def q_graph_reason(t):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer, supplier WHERE c_custkey % 97 = s_suppkey % 97 AND c_nationkey <> s_nationkey AND c_custkey < 60 AND s_suppkey < 40),
+    """WITH RECURSIVE g AS (SELECT lower(title) AS k, min(book_id) AS first FROM books WHERE book_id IS NOT NULL AND title IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT first AS a, book_id AS b FROM books JOIN g ON lower(title) = k WHERE book_id IS NOT NULL),
       u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS low FROM u UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.node) SELECT node, min(low) AS root FROM r GROUP BY node"""
 )
 def q_components(t):
-    c, s = t("customer").where("c_custkey < 60"), t("supplier").where("s_suppkey < 40")
-    e = c.join(s, F.col("c_custkey") % 97 == F.col("s_suppkey") % 97).where("c_nationkey <> s_nationkey")
-    return R.components(e.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")))
+    """Books that are tied by a title that some delivery of both has."""
+    b = t("books").where("book_id is not null and title is not null").select("book_id", F.lower("title").alias("k"))
+    first = b.groupBy("k").agg(F.min("book_id").alias("first"))
+    return R.components(b.join(first, "k").select(F.col("first").alias("a"), F.col("book_id").alias("b")))
 
 
 @query(

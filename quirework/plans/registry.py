@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import books, documents, reference, training
+from quirework.plans import books, documents, navigation, reference, training
 
-MODULES = [training, reference, documents, books]
+MODULES = [training, reference, documents, books, navigation]
 
 
 def queries() -> dict:
