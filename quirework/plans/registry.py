@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import books, documents, navigation, reference, training
+from quirework.plans import books, containers, documents, navigation, reference, tools, training
 
-MODULES = [training, reference, documents, books, navigation]
+MODULES = [training, reference, documents, books, navigation, containers, tools]
 
 
 def queries() -> dict:

@@ -1,15 +1,16 @@
 """EPUB files as tables, and tables as EPUB files.
 
-The reader is a Spark Data Source: one partition per file, one of the tables ``metadata``,
-``spine``, ``toc``, ``assets`` or ``chapters`` by the option ``table``. A file that can't be read gives one row
+Files come through Spark's binaryFile, from any file system, and ``read_epub`` gives one of the tables
+``metadata``, ``spine``, ``toc``, ``landmarks``, ``fonts``, ``assets`` or ``chapters``. A file that can't be read gives one row
 that carries the error.
 """
 
 from __future__ import annotations
 
-import glob
+import hashlib
 import io
 import posixpath
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -19,13 +20,15 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quirework.functions.decoding import decode_bytes
+from quirework.functions.decoding import decode_bytes, deobfuscated
+from quirework.operators.navigation import LANDMARKS
 
 ENTRY_LIMIT = 512 << 20
 SCHEMAS = {
-    "metadata": "path string, title string, authors array<string>, language string, identifier string, publisher string, description string, subjects array<string>, date string, rights string, cover string, error string",
+    "metadata": "path string, title string, authors array<string>, language string, identifier string, publisher string, description string, subjects array<string>, date string, rights string, cover string, modified_date string, contributors array<struct<name:string,file_as:string,role:string>>, title_sort string, author_sort string, collection struct<name:string,collection_type:string,position:double>, direction string, error string",
+    "landmarks": "path string, ord int, kind string, title string, href string, error string",
+    "fonts": "path string, href string, algorithm string, restored boolean, content binary, error string",
     "spine": "path string, chapter_id int, href string, size_estimate bigint, error string",
     "toc": "path string, ord int, parent_ord int, depth int, title string, href string, error string",
     "assets": "path string, href string, media_type string, content binary, length bigint, error string",
@@ -33,6 +36,27 @@ SCHEMAS = {
 }
 
 
+# How fonts begin.
+FONT_STARTS = (b"\x00\x01\x00\x00", b"OTTO", b"true", b"ttcf", b"wOFF", b"wOF2")
+
+
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text or "")
+    except ValueError:
+        return None
+
+
+def _font_keys(kind: str, identifier: str) -> Iterator[tuple[bytes, int]]:
+    """(key, bytes it covers) that an identifier gives."""
+    if kind == "idpf":
+        yield hashlib.sha1("".join(identifier.split()).encode()).digest(), 1040  # noqa: S324
+    else:
+        digits = re.sub(r"[^0-9a-fA-F]", "", identifier.rsplit(":", 1)[-1])
+        if len(digits) == 32:
+            yield bytes.fromhex(digits), 1024
+
+
 def _local(e: ElementTree.Element) -> str:
     return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
@@ -70,7 +94,83 @@ class Epub:
         if cover is None:
             old = next((e.get("content") for e in _all(self.opf, "meta") if e.get("name") == "cover"), None)
             cover = self.manifest[old].get("href") if old in self.manifest else None
-        return one("title"), texts("creator"), one("language"), one("identifier"), one("publisher"), one("description"), texts("subject"), one("date"), one("rights"), cover and self.full(cover)
+        own = one("title"), texts("creator"), one("language"), one("identifier"), one("publisher"), one("description"), texts("subject"), one("date"), one("rights"), cover and self.full(cover)
+        return (*own, *self.refined())
+
+    def refined(self) -> tuple:
+        """(modified_date, contributors, title_sort, author_sort, collection, direction): what refinements say of the
+        elements they name; of several of one kind the last counts, author_sort is the first author's."""
+        metas = _all(self.opf, "meta")
+        said: dict[str, dict[str, str]] = {}
+        for e in metas:
+            if (e.get("refines") or "").startswith("#") and e.get("property"):
+                said.setdefault(e.get("refines")[1:], {})[e.get("property")] = "".join(e.itertext()).strip()
+        attribute = lambda e, name: next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
+        of = lambda e, name: said.get(e.get("id") or "", {}).get(name) or attribute(e, name)
+        titles, creators = _all(self.opf, "title"), _all(self.opf, "creator")
+        named = lambda e: "".join(e.itertext()).strip()
+        contributors = [{"name": named(e), "file_as": of(e, "file-as"), "role": of(e, "role")} for e in _all(self.opf, "contributor") if named(e)]
+        old = {e.get("name"): e.get("content") for e in metas if e.get("name")}
+        group = next((e for e in metas if e.get("property") == "belongs-to-collection"), None)
+        collection = None
+        if group is not None and named(group):
+            collection = {"name": named(group), "collection_type": of(group, "collection-type"), "position": _number(of(group, "group-position"))}
+        elif old.get("calibre:series"):
+            collection = {"name": old["calibre:series"], "collection_type": "series", "position": _number(old.get("calibre:series_index"))}
+        modified = next((named(e) for e in metas if e.get("property") == "dcterms:modified" and not e.get("refines")), None)
+        spine = next(iter(_all(self.opf, "spine")), None)
+        return (
+            modified, contributors, next((x for t in titles[:1] if (x := of(t, "file-as"))), None) or old.get("calibre:title_sort"), next((x for c in creators[:1] if (x := of(c, "file-as"))), None),
+            collection, None if spine is None else spine.get("page-progression-direction"),
+        )
+
+    def landmarks(self) -> list[tuple]:
+        """(ord, kind, title, href): the nav document's landmarks whose kind is known, else the guide's."""
+        out: list[tuple] = []
+        nav = next((i for i in self.manifest.values() if "nav" in (i.get("properties") or "").split()), None)
+        found: list[tuple[str, str, str, str]] = []
+        if nav is not None:
+            path = self.full(nav.get("href"))
+            for n in _all(ElementTree.fromstring(self.read(path)), "nav"):  # noqa: S314
+                if any(k.endswith("type") and "landmarks" in v.split() for k, v in n.attrib.items()):
+                    for a in _all(n, "a"):
+                        types = next((v for k, v in a.attrib.items() if k.endswith("type")), "")
+                        found.append((types, "".join(a.itertext()), a.get("href") or "", posixpath.dirname(path)))
+        found = found or [(e.get("type") or "", e.get("title") or "", e.get("href") or "", self.base) for e in _all(self.opf, "reference")]
+        for types, title, href, base in found:
+            kind = next((LANDMARKS[t] for t in types.lower().split() if t in LANDMARKS), None)
+            if kind and href:
+                out.append((len(out), kind, " ".join(title.split()), "#".join([self.full(href.split("#")[0], base), *href.split("#")[1:]])))
+        return out
+
+    def obfuscated(self) -> dict[str, str]:
+        """The files that the container says are obfuscated, with the algorithm."""
+        try:
+            root = ElementTree.fromstring(self.read("META-INF/encryption.xml"))  # noqa: S314
+        except KeyError:
+            return {}
+        out = {}
+        for data in _all(root, "EncryptedData"):
+            how = next((e.get("Algorithm") for e in _all(data, "EncryptionMethod")), "") or ""
+            name = next((e.get("URI") for e in _all(data, "CipherReference")), None)
+            kind = "idpf" if "idpf.org" in how else "adobe" if "ns.adobe.com" in how else None
+            if name and kind:
+                out[posixpath.normpath(unquote(name))] = kind
+        return out
+
+    def fonts(self) -> list[tuple]:
+        """(href, algorithm, restored, content) of the obfuscated fonts: every identifier of the book is tried, and a
+        font counts as restored if it begins as fonts do; else it is given as it is."""
+        ids = [t for e in _all(self.opf, "identifier") if (t := "".join(e.itertext()))]
+        out = []
+        for name, kind in sorted(self.obfuscated().items()):
+            if name not in self.zip.namelist():
+                continue
+            raw = self.read(name)
+            tried = (deobfuscated(raw, key, length) for i in ids for key, length in _font_keys(kind, i))
+            good = next((x for x in tried if x[:4] in FONT_STARTS), None)
+            out.append((name, kind, good is not None, raw if good is None else good))
+        return out
 
     def spine(self) -> list[tuple[str, int]]:
         names = set(self.zip.namelist())
@@ -121,29 +221,9 @@ class Epub:
         return out
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.table = options.get("table", "metadata")
-        self.pattern = options["path"]
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(self.pattern))] or [_File("")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            yield from epub_rows(partition.path, f.read(), self.table)
-
-
 def epub_rows(path: str, raw: bytes, table: str) -> Iterator[tuple]:
     """The rows of one file for one table; of a broken file one row with the error."""
-    width = SCHEMAS[table].count(",") + 1 - 2
+    width = len(_fields(table)) - 2
     try:
         book = Epub(raw)
         if table == "metadata":
@@ -152,34 +232,37 @@ def epub_rows(path: str, raw: bytes, table: str) -> Iterator[tuple]:
             rows = [(i, p, n) for i, (p, n) in enumerate(book.spine())]
         elif table == "toc":
             rows = book.toc()
+        elif table == "landmarks":
+            rows = book.landmarks()
+        elif table == "fonts":
+            rows = book.fonts()
         elif table == "chapters":
             rows = [(i, p, decode_bytes(book.read(p), None)) for i, (p, _) in enumerate(book.spine())]
         else:
             names = [i for i in book.zip.infolist() if not i.is_dir()]
             types = {book.full(i.get("href")): i.get("media-type") for i in book.manifest.values() if i.get("href")}
-            rows = [(i.filename, types.get(i.filename), book.read(i.filename), i.file_size) for i in names]
+            clear = {name: content for name, _, good, content in book.fonts() if good}
+            rows = [(i.filename, types.get(i.filename), clear.get(i.filename) or book.read(i.filename), i.file_size) for i in names]
         for row in rows:
             yield (path, *row, None)
     except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, IndexError, ValueError, OSError) as e:
         yield (path, *[None] * width, f"{type(e).__name__}: {e}")
 
 
-class EpubDataSource(DataSource):
-    """spark.read.format("epub").option("table", ...).load("/books/*.epub")"""
+def load_epub(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One of the tables of all files under a path or pattern, on any file system that Spark reads."""
+    return read_epub(spark.read.format("binaryFile").load(path), table)
 
-    @classmethod
-    def name(cls) -> str:
-        return "epub"
 
-    def schema(self) -> str:
-        return SCHEMAS[self.options.get("table", "metadata")]
+_KINDS = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+    "array<struct<name:string,file_as:string,role:string>>": pa.list_(pa.struct([("name", pa.string()), ("file_as", pa.string()), ("role", pa.string())])),
+    "struct<name:string,collection_type:string,position:double>": pa.struct([("name", pa.string()), ("collection_type", pa.string()), ("position", pa.float64())]),
+}
 
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(dict(self.options))
 
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(EpubDataSource)
+def _fields(table: str) -> list[list[str]]:
+    return [f.split(" ") for f in SCHEMAS[table].split(", ")]
 
 
 def read_epub(files: DataFrame, table: str) -> DataFrame:
@@ -188,9 +271,7 @@ def read_epub(files: DataFrame, table: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [r for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in epub_rows(p, c, table)]
-            names = [f.strip().split(" ")[0] for f in SCHEMAS[table].split(", ")]
-            kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
-            types = [kinds[f.strip().split(" ")[1]] for f in SCHEMAS[table].split(", ")]
+            names, types = [n for n, _ in _fields(table)], [_KINDS[k] for _, k in _fields(table)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -231,3 +312,27 @@ def to_epub(books: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("book_id"), pa.array(files, pa.binary())], ["book_id", "content"])
 
     return books.select("book_id", "title", "language", "authors", "chapters").mapInArrow(run, "book_id string, content binary")
+
+
+def repackaged(raw: bytes) -> bytes:
+    """A file with its documents and other contents as they are, and the package around them written anew: the type
+    first and uncompressed, then the container, the package file, and the rest in the order of their names."""
+    book = Epub(raw)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kept = sorted(i.filename for i in book.zip.infolist() if not i.is_dir() and i.filename != "mimetype")
+        first = [n for n in ("META-INF/container.xml", book.opf_path) if n in kept]
+        for name in ["mimetype", *first, *[n for n in kept if n not in first]]:
+            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
+            z.writestr(info, b"application/epub+zip" if name == "mimetype" else book.read(name))
+    return out.getvalue()
+
+
+def packaged(opf: str) -> bytes:
+    """A file of nothing but its container and a package file."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("META-INF/container.xml"), '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr(zipfile.ZipInfo("p.opf"), opf)
+    return out.getvalue()
