@@ -141,3 +141,9 @@ def display_math(nodes: DataFrame) -> DataFrame:
     kids = nodes.where("parent_pre is not null").select("doc_key", "pre", "parent_pre", "role", ((F.col("role") != "Text") | (F.trim(F.coalesce("text", F.lit(""))) != "")).alias("solid"))
     alone = kids.groupBy("doc_key", "parent_pre").agg(F.count_if("solid").alias("solids"))
     return kids.where("role = 'Math'").join(alone, ["doc_key", "parent_pre"]).select("doc_key", "pre", (F.col("solids") == 1).alias("display"))
+
+
+def list_separators(rows: DataFrame, group: str, key: str, kind: str, *order: str) -> DataFrame:
+    """(key, separated): whether a list needs a separator before it, as one of its kind stands right before."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.select(key, F.col(kind).eqNullSafe(F.lag(kind).over(w)).alias("separated"))

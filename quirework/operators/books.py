@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
-from quirework.operators.ranks import numbered
+from quirework.operators.ranks import numbered, running_sum
 
 LEAF_LEAST, SECTION_CAP, LEAF_CAP = 10, 8000, 3000
 FIRST_SYMBOL = 852
@@ -80,3 +80,45 @@ def report(*rules: tuple[str, str, DataFrame]) -> DataFrame:
         one = broken.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("severity", "category").agg(F.count("*").alias("n"))
+
+
+def reachable(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """(key, reachable): whether anything uses a row; used(key) may repeat."""
+    there = used.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__u", F.lit(True))
+    return rows.select(key).join(there, key, "left").select(key, F.coalesce("__u", F.lit(False)).alias("reachable"))
+
+
+def first_of(rows: DataFrame, group: str, value: str, *order: str) -> DataFrame:
+    """(group, value): of several rows the first by the order counts."""
+    return rows.groupBy(group).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def merged(name: str, *columns: tuple[DataFrame, str]) -> DataFrame:
+    """(name): the different values of several columns, each once."""
+    out = None
+    for df, c in columns:
+        one = df.select(F.col(c).alias(name))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def note_numbers(rows: DataFrame, group: str, key: str, *order: str) -> DataFrame:
+    """(key, number): notes are numbered from 1 in each group, by ranges, so that no group is one task."""
+    return running_sum(rows.withColumn("__one", F.lit(1).cast("bigint")), group, *order, value="__one", name="number").select(key, "number")
+
+
+def asset_set(documents: DataFrame, text: str, attribute: str = "href") -> DataFrame:
+    """(attribute): the different values of an attribute in all documents."""
+    return documents.select(F.explode(F.regexp_extract_all(text, F.lit(f' {attribute}="([^"]*)"'), F.lit(1))).alias(attribute)).distinct()
+
+
+def section_members(rows: DataFrame, section: str, member: str, head: int = 0) -> DataFrame:
+    """(section, members): the members of each section in order, its head first."""
+    ids = F.concat(F.array(F.lit(head).cast(rows.schema[member].dataType)), F.sort_array(F.collect_list(member)))
+    return rows.groupBy(F.col(section).alias("section")).agg(ids.alias("members"))
+
+
+def index_stats(rows: DataFrame, kind: str, text: str, chars: str, source: str) -> DataFrame:
+    """(kind, n, empty, chars, sources) of an index by kind."""
+    empty = F.count_if(F.col(text).isNull() | (F.col(text) == ""))
+    return rows.groupBy(kind).agg(F.count("*").alias("n"), empty.alias("empty"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars"), F.count_distinct(source).alias("sources"))

@@ -330,3 +330,10 @@ def margin_sets(nodes: DataFrame) -> DataFrame:
         return [(key, f"{at}{side}", max(0.0, *v) + min(0.0, *v)) for (at, side), v in sorted(sets.items())]
 
     return per_document(nodes, ["doc_key", "pre", "parent_pre", "top", "bottom", "closed"], work, "doc_key bigint, set string, margin double")
+
+
+def weighted_mode(rows: DataFrame, group: str, value: str, weight: str) -> DataFrame:
+    """(group, value): the value that most weight of a group has; null counts as the empty text, ties go to the one that sorts last."""
+    said = F.coalesce(value, F.lit("")).alias(value)
+    n = rows.groupBy(group, said).agg(F.sum(weight).alias("__n"))
+    return n.groupBy(group).agg(F.max_by(value, F.struct("__n", value)).alias(value))

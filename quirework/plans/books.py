@@ -109,7 +109,7 @@ def q_resource_names(t):
 
 @query("SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(document, ' href=\"([^\"]*)\"', 1)) AS href FROM chapters)")
 def q_asset_set(t):
-    return t("chapters").select(F.explode(F.regexp_extract_all("document", F.lit(' href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    return books.asset_set(t("chapters"), "document")
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents), s AS (SELECT DISTINCT lower(term) AS term FROM subject_terms) SELECT doc_id, term, count(*) AS n FROM w JOIN s USING (term) GROUP BY 1, 2")
@@ -143,14 +143,12 @@ def q_validate(t):
 
 @query("SELECT event_id, event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS separated FROM events")
 def q_list_separators(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("event_id", F.col("event_type").eqNullSafe(F.lag("event_type").over(w)).alias("separated"))
+    return blocks.list_separators(t("events"), "user_id", "event_id", "event_type", "ts", "event_id")
 
 
 @query("SELECT o_custkey AS section, [0] || list(o_orderkey ORDER BY o_orderkey) AS members FROM orders GROUP BY 1")
 def q_section_members(t):
-    ids = F.concat(F.array(F.lit(0).cast("bigint")), F.sort_array(F.collect_list("o_orderkey")))
-    return t("orders").groupBy(F.col("o_custkey").alias("section")).agg(ids.alias("members"))
+    return books.section_members(t("orders"), "o_custkey", "o_orderkey")
 
 
 @query(

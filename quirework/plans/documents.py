@@ -115,6 +115,30 @@ def q_prune(t):
     return passes.prune(passes.vacuum(nodes_of(t, again=True))).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query("SELECT chapter_key AS doc_key, chapter_id::VARCHAR || chapter_key AS text FROM chapters WHERE chapter_id IS NOT NULL UNION ALL SELECT chapter_key, 'x' FROM chapters WHERE chapter_id IS NOT NULL")
+def q_span_merge(t):
+    """A page for every chapter with text that a comment cuts in two."""
+    page = F.concat(F.lit("<p>"), F.col("chapter_id").cast("string"), F.lit("<!-- -->"), F.col("chapter_key").cast("string"), F.lit("<i>x</i></p>"))
+    n = html_nodes(t("chapters").where("chapter_id is not null").select("chapter_key", page.alias("page")), "chapter_key", "page")
+    return passes.merge_spans(stored(n, "nodes")).where("role = 'Text'").select("doc_key", "text")
+
+
+@query("SELECT chapter_key AS doc_key, 2::BIGINT AS lists, 3::BIGINT AS items FROM chapters")
+def q_list_fuse(t):
+    """A page for every chapter with two lists in a row, and one of another kind."""
+    page = F.lit("<body><ul><li>a</li></ul>\n<ul><li>b</li></ul><ol><li>c</li></ol></body>")
+    n = html_nodes(t("chapters").select("chapter_key", page.alias("page")), "chapter_key", "page")
+    f = passes.fuse_lists(stored(passes.vacuum(stored(n, "nodes")), "nodes"))
+    return f.groupBy("doc_key").agg(F.count_if(F.col("role").isin("UnorderedList", "OrderedList")).alias("lists"), F.count_if(F.col("role") == "ListItem").alias("items"))
+
+
+@query("SELECT chapter_key AS doc_key, unnest(['head', 'body']) AS part, unnest([1, 2])::BIGINT AS rows FROM chapters")
+def q_table_parts(t):
+    page = F.lit("<table><tr><th>a</th></tr><tr><td>b</td></tr><tr><td>c</td></tr></table>")
+    n = html_nodes(t("chapters").select("chapter_key", page.alias("page")), "chapter_key", "page")
+    return passes.table_parts(stored(n, "nodes")).groupBy("doc_key", "part").agg(F.count("*").alias("rows"))
+
+
 @query("SELECT chapter_key AS doc_key, unnest([1, 4])::INTEGER AS first_pre, unnest([CASE WHEN chapter_key % 2 = 0 THEN 2 ELSE 1 END, 1])::INTEGER AS nodes FROM chapters WHERE chapter_key % 2 = 1 UNION ALL SELECT chapter_key, unnest([1, 6]), unnest([2, 1]) FROM chapters WHERE chapter_key % 2 = 0")
 def q_wrap_runs(t):
     """A page for every chapter with words before and behind a block."""

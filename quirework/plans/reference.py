@@ -9,7 +9,8 @@ from quirework.functions import text as T
 from quirework.operators import links as L
 from quirework.operators import positions as P
 from quirework.operators import retrieval as R
-from quirework.operators import tree
+from quirework.operators import books as B
+from quirework.operators import styles, tree
 from quirework.operators.ranks import numbered
 from quirework.session import prepare, table
 
@@ -305,10 +306,14 @@ def q_ready_frontier(t):
 
 @query("SELECT r_regionkey, n_nationkey, round(sum(sum(c_acctbal)) OVER (PARTITION BY r_regionkey), 2) AS region_total, round(sum(c_acctbal), 2) AS nation_total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def q_rollup_bottom_up(t):
-    n = t("customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("s"))
-    rows = n.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    total = F.sum("s").over(Window.partitionBy("n_regionkey"))
-    return rows.select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", F.round(total, 2).alias("region_total"), F.round("s", 2).alias("nation_total"))
+    """Every region as a tree with its nations below it."""
+    n = t("customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("s")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    leaves = n.select(F.col("n_regionkey").alias("doc_key"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("pre"), "n_nationkey", "s")
+    roots = leaves.groupBy("doc_key").agg(F.count("*").cast("int").alias("end")).select("doc_key", F.lit(0).alias("pre"), "end", F.lit(None).cast("double").alias("s"))
+    sums = tree.rolled_up(roots.unionByName(leaves.select("doc_key", "pre", F.col("pre").alias("end"), F.col("s").cast("double").alias("s"))), "s")
+    top = sums.where("pre = 0").select("doc_key", F.round("total", 2).alias("region_total"))
+    own = leaves.select("doc_key", "pre", "n_nationkey").join(sums, ["doc_key", "pre"])
+    return own.join(top, "doc_key").select(F.col("doc_key").alias("r_regionkey"), "n_nationkey", "region_total", F.round("total", 2).alias("nation_total"))
 
 
 # Positions and windows -----------------------------------------------------------------------
@@ -412,15 +417,14 @@ def q_section_parent(t):
 
 
 @query("WITH w AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), i AS (SELECT *, sum(CASE WHEN event_type IS NOT DISTINCT FROM p AND p IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM w) SELECT user_id, island::BIGINT AS island, min(event_type) AS event_type, count(*) AS n FROM i GROUP BY 1, 2")
-def q_span_merge(t):
+def q_islands(t):
     e = P.islands(t("events").withColumn("o", F.struct("ts", "event_id")), "user_id", "o", "event_type")
     return e.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE event_type = 'error'")
 def q_footnote_numbers(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").where("event_type = 'error'").select("event_id", F.row_number().over(w).cast("bigint").alias("number"))
+    return B.note_numbers(t("events").where("event_type = 'error'"), "user_id", "event_id", "ts", "event_id")
 
 
 @query("SELECT source, dense_rank() OVER (ORDER BY f) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY 1)")
@@ -431,35 +435,33 @@ def q_dictionary(t):
 
 @query("SELECT event_type AS s FROM events UNION SELECT o_orderstatus FROM orders")
 def q_union_styles(t):
-    return t("events").select(F.col("event_type").alias("s")).union(t("orders").select("o_orderstatus")).distinct()
+    return B.merged("s", (t("events"), "event_type"), (t("orders"), "o_orderstatus"))
 
 
 @query("SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS reachable FROM part")
 def q_reachable(t):
-    used = t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("u", F.lit(True))
-    return t("part").join(used, "p_partkey", "left").select("p_partkey", F.coalesce("u", F.lit(False)).alias("reachable"))
+    return B.reachable(t("part"), t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def q_dedupe_first(t):
-    return t("events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return B.first_of(t("events"), "user_id", "event_id", "ts", "event_id")
 
 
 @query("SELECT l_orderkey, arg_max(l_returnflag, (l_quantity, l_discount, l_linenumber, l_partkey)) AS winner FROM lineitem GROUP BY 1")
 def q_cascade_argmax(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_quantity", "l_discount", "l_linenumber", "l_partkey")).alias("winner"))
+    c = t("lineitem").select("l_orderkey", F.lit("flag").alias("property"), F.col("l_returnflag").alias("value"), F.lit(False).alias("important"), F.lit(0).alias("origin_rank"), F.col("l_quantity").alias("ids"), F.col("l_discount").alias("classes"), F.col("l_linenumber").alias("elements"), F.col("l_partkey").alias("ord"))
+    return styles.winning(c, "l_orderkey").select("l_orderkey", F.col("value").alias("winner"))
 
 
 @query("SELECT kind, arg_max(coalesce(lang, ''), (n, coalesce(lang, ''))) AS lang FROM (SELECT kind, lang, sum(n_chars) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
 def q_weighted_mode(t):
-    n = t("documents").groupBy("kind", "lang").agg(F.sum("n_chars").alias("n"))
-    return n.groupBy("kind").agg(F.max_by(F.coalesce("lang", F.lit("")), F.struct("n", F.coalesce("lang", F.lit("")))).alias("lang"))
+    return styles.weighted_mode(t("documents"), "kind", "lang", "n_chars")
 
 
 @query("SELECT kind, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR text = '') AS empty, coalesce(sum(n_chars), 0)::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def q_stats(t):
-    empty = F.count_if(F.col("text").isNull() | (F.col("text") == ""))
-    return t("documents").groupBy("kind").agg(F.count("*").alias("n"), empty.alias("empty"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"), F.count_distinct("source").alias("sources"))
+    return B.index_stats(t("documents"), "kind", "text", "n_chars", "source")
 
 
 @query()
