@@ -161,3 +161,14 @@ def renumber(nodes: DataFrame) -> DataFrame:
     sib = F.row_number().over(Window.partitionBy("doc_key", "parent_pre").orderBy("pre")) - 1
     out = out.withColumn("sib", sib).withColumns({"pre": F.col("__new"), "end": F.col("__end"), "parent_pre": F.col("__parent")})
     return out.select(*nodes.columns)
+
+
+def inline_spaces(nodes: DataFrame) -> DataFrame:
+    """Blank texts become one space; those with a line break in a block are dropped unless inline nodes stand on both sides."""
+    n = _with_parent_role(nodes)
+    w = Window.partitionBy(*_PARENT).orderBy("sib")
+    inline = F.col("role").isin(*INLINE) & ~((F.col("role") == "Text") & blank("text"))
+    empty = (F.col("role") == "Text") & blank("text")
+    flanked = F.coalesce(F.lag(inline).over(w), F.lit(False)) & F.coalesce(F.lead(inline).over(w), F.lit(False))
+    drop = empty & F.coalesce("text", F.lit("")).rlike(r"[\n\r]") & F.coalesce(F.col("parent_role"), F.lit("Root")).isin(*BLOCK) & ~flanked
+    return n.withColumns({"__drop": drop, "text": F.when(empty & (F.coalesce("text", F.lit("")) != ""), " ").otherwise(F.col("text"))}).where(~F.col("__drop")).drop("__drop", "parent_role")

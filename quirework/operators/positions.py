@@ -114,3 +114,15 @@ def sessions(rows: DataFrame, group: str, order: str, begins) -> DataFrame:
     return rows.withColumn("session", F.count_if(begins).over(Window.partitionBy(group).orderBy(order)))
 
 
+
+
+def location_report(located: DataFrame, texts: DataFrame, key: str, text: str, snippet: int = 40) -> DataFrame:
+    """Adds snippet: what stands at each location of located(key, offset), cut after so many characters; of a key
+    that has no text it is null. texts(key, text)."""
+    said = texts.select(key, F.col(text).alias("__t"))
+    return located.join(said, key, "left").withColumn("snippet", F.substring("__t", (F.col("offset") + 1).cast("int"), F.lit(snippet))).drop("__t")
+
+
+def position_report(placed: DataFrame, group: str) -> DataFrame:
+    """(group, elements, first, last, length): how many elements a group has and how far they reach."""
+    return placed.groupBy(group).agg(F.count("*").alias("elements"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum("size").alias("length"))

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.operators import tools
+from quirework.operators import passes, positions, tools
 from quirework.plans.navigation import ORACLE, QUERIES, query
-from quirework.session import spread
-from quirework.sources import epub
+from quirework.session import spread, stored
+from quirework.sources import books as any_books
+from quirework.sources import epub, html, mobi
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -102,3 +103,55 @@ def q_epub_refinements(t):
     """Contributors, collection and direction of every delivery, as they are read back out of its package file."""
     meta = epub.read_epub(_packages(t), "metadata").where("error is null")
     return meta.select(F.col("path").cast("bigint").alias("record_id"), F.nullif(F.size("contributors"), F.lit(-1)).cast("bigint").alias("contributors"), F.col("collection.position").alias("position"), "direction")
+
+
+@query(r"""SELECT chapter_key AS doc_key, 0 AS ord, 'link' AS kind, unnest(regexp_extract_all(document, '<link[^>]* href="([^"]*)"', 1)) AS value FROM chapters""")
+def q_stylesheets(t):
+    return html.stylesheets(t("chapters"), "chapter_key", "document")
+
+
+@query(r"SELECT chapter_key AS doc_key, count(*) AS texts FROM (SELECT chapter_key, unnest(regexp_extract_all(document, '(?s)<(?:p|h2)(?: [^>]*)?>([^<]+)', 1)) FROM chapters) GROUP BY 1")
+def q_inline_spaces(t):
+    """No line break between blocks is left as text."""
+    n = stored(html.html_nodes(t("chapters"), "chapter_key", "document"), "nodes")
+    return passes.inline_spaces(n).where("role = 'Text'").groupBy("doc_key").agg(F.count("*").alias("texts"))
+
+
+@query("SELECT chapter_key, document, octet_length(encode(document)) // 1000 >= 0 AS small FROM chapters WHERE document IS NOT NULL")
+def q_body_chunks(t):
+    """Every document out of its chunks of at most 1,000 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(k, i, c.decode(), len(c) <= 1000) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(mobi.body_chunks(x.encode(), 1000))]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.bool_()), strict=True)], ["chapter_key", "n", "chunk", "small"])
+
+    c = spread(t("chapters").where("document is not null").select("chapter_key", "document")).mapInArrow(run, "chapter_key bigint, n int, chunk string, small boolean")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("n", "chunk"))), lambda x: x["chunk"])
+    return c.groupBy("chapter_key").agg(F.array_join(parts, "").alias("document"), F.bool_and("small").alias("small"))
+
+
+_PLACED = "SELECT doc_id, source, text, greatest(coalesce(n_chars, 0), 1) AS size, sum(greatest(coalesce(n_chars, 0), 1)) OVER (PARTITION BY source ORDER BY doc_id) - greatest(coalesce(n_chars, 0), 1) AS start FROM documents"
+
+
+def _placed(t) -> DataFrame:
+    return positions.positions(t("documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars")
+
+
+@query(f"SELECT source, count(*) AS elements, min(start)::BIGINT AS first, max(start)::BIGINT AS last, sum(size)::BIGINT AS length FROM ({_PLACED}) GROUP BY 1")
+def q_position_report(t):
+    return positions.position_report(_placed(t), "source")
+
+
+@query(f"SELECT doc_id, o AS offset, substr(text, (o + 1)::INTEGER, 40) AS snippet FROM (SELECT doc_id, text, unnest(range(0, size, 150)) AS o FROM ({_PLACED}))")
+def q_location_report(t):
+    return positions.location_report(positions.locations(_placed(t)), t("documents"), "doc_id", "text").select("doc_id", "offset", "snippet")
+
+
+@query()
+def q_markdown_books(t):
+    """Every chapter as a Markdown book of its own, by the writer that its format asks for."""
+    c = t("chapters").where("document is not null")
+    own = c.select(F.col("chapter_key").cast("string").alias("book_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("authors"), F.array(F.struct(F.lit("t").alias("title"), F.col("document").alias("xhtml"))).alias("chapters"))
+    return any_books.exported(own, "markdown").select(F.col("book_id").cast("bigint").alias("chapter_key"), F.decode("content", "UTF-8").alias("markdown"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _STEPS: dict[int, list[str]] = {}
@@ -75,8 +79,7 @@ def dropped(step: DataFrame) -> None:
         folder = path.rsplit("/", 1)[0]
         mine = [p for p in _STEPS.get(id(sc), []) if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]
         for p in mine:
-            at = sc._jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(sc, p)
             _STEPS[id(sc)].remove(p)
 
 
@@ -84,8 +87,36 @@ def clear(spark: SparkSession) -> None:
     """Deletes what this session's steps wrote to the shared folder; call it when their results are done with."""
     sc = spark.sparkContext
     for path in _STEPS.pop(id(sc), []):
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(sc, path)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Within it, queries may be built and their results read or written; at its end their steps are deleted."""
+    before = list(_STEPS.get(id(spark.sparkContext), []))
+    try:
+        yield
+    finally:
+        sc = spark.sparkContext
+        for path in [p for p in _STEPS.get(id(sc), []) if p not in before]:
+            _delete(sc, path)
+        _STEPS[id(sc)] = before
+
+
+def _delete(sc, path: str) -> None:  # noqa: ANN001
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    """What is left of the steps goes when the program ends."""
+    sc = SparkContext._active_spark_context
+    for path in _STEPS.pop(id(sc), []) if sc is not None and sc._jsc is not None else []:
+        try:
+            _delete(sc, path)
+        except Exception:  # noqa: BLE001, S110
+            pass
 
 
 def tasks(spark: SparkSession) -> int:

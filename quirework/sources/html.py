@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from quirework.session import spread
 
@@ -285,3 +286,15 @@ def html_nodes(documents: DataFrame, key: str, html: str, finish: Callable[[list
                 yield pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(len(keys), t) for name, t in zip(FIELDS, _ARROW, strict=True)], FIELDS)
 
     return spread(documents.select(documents[key].cast("bigint").alias("doc_key"), documents[html].alias("html"))).mapInArrow(run, SCHEMA)
+
+
+def stylesheets(documents: DataFrame, key: str, html: str) -> DataFrame:
+    """(doc_key, ord, kind, value): hrefs of linked style sheets (link) and bodies of style elements (style), in the
+    order of the document. Links of another kind and empty ones are left out."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>|<style\b[^>]*>.*?</style\s*>)"), F.lit(1))
+    each = documents.select(F.col(key).cast("bigint").alias("doc_key"), F.posexplode(found).alias("at", "x"))
+    linked = F.lower("x").startswith("<link")
+    value = F.when(linked, F.regexp_extract("x", r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)""", 1)).otherwise(F.regexp_extract("x", r"(?is)<style\b[^>]*>(.*?)</style", 1))
+    sheet = ~linked | F.col("x").rlike(r"""(?i)\srel\s*=\s*["']?[^"'>]*\bstylesheet\b""")
+    kept = each.where(sheet).select("doc_key", "at", F.when(linked, "link").otherwise("style").alias("kind"), value.alias("value")).where("value <> ''")
+    return kept.select("doc_key", (F.row_number().over(Window.partitionBy("doc_key").orderBy("at")) - 1).alias("ord"), "kind", "value")
