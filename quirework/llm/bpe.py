@@ -67,18 +67,35 @@ def as_bytes(text: Column) -> Column:
 def fold_ids(word: Column, table: Column) -> Column:
     """The ids of a word: the fold over its bytes, or at once where the word is a token."""
 
-    def merged(parts: Column, at: Column) -> Column:
-        return F.concat(F.slice(parts, F.lit(1), at), F.array(F.concat(F.get(parts, at), F.get(parts, at + 1))), F.slice(parts, at + 3, F.size(parts)))
+    rank = lambda x: _look_up(table, x)
+    none = F.array().cast("array<int>")
 
-    def step(parts: Column) -> Column:
-        pair = lambda i: F.concat(F.get(parts, i), F.get(parts, i + 1))
-        found = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.struct(_look_up(table, pair(i)).alias("rank"), i.alias("at")))
-        best = lambda x: F.array_min(F.filter(x, lambda y: y["rank"].isNotNull()))
-        return F.when(F.size(parts) < 2, parts).otherwise(_with(best(found), lambda b: F.when(b.isNull(), parts).otherwise(merged(parts, b["at"]))))
+    def merged(state: Column, at: Column) -> Column:
+        """The state after the pair at a place is joined: only the ranks beside it are looked up again."""
+        parts, ranks = state["parts"], state["ranks"]
+        joined = F.concat(F.get(parts, at), F.get(parts, at + 1))
+
+        def put(one: Column) -> Column:
+            before = F.when(at > 0, F.array(rank(F.concat(F.get(parts, at - 1), one)))).otherwise(none)
+            after = F.when(at + 2 < F.size(parts), F.array(rank(F.concat(one, F.get(parts, at + 2))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at), F.array(one), F.slice(parts, at + 3, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 1, F.lit(0))), before, after, F.slice(ranks, at + 3, F.size(parts))).alias("ranks"),
+            )
+
+        return _with(joined, put)
+
+    def step(state: Column) -> Column:
+        least = F.array_min(state["ranks"])
+        return F.when(least.isNull(), state).otherwise(merged(state, (F.array_position(state["ranks"], least) - 1).cast("int")))
+
+    def start(parts: Column) -> Column:
+        pairs = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))).otherwise(none)
+        return F.struct(parts.alias("parts"), pairs.alias("ranks"))
 
     raw = as_bytes(word)
     whole = lambda b: _look_up(table, b)
-    folded = lambda b: F.transform(F.aggregate(F.sequence(F.lit(1), F.length(b)), F.split(b, ""), lambda p, _: step(p)), lambda x: _look_up(table, x))
+    folded = lambda b: F.transform(F.aggregate(F.sequence(F.lit(1), F.length(b)), start(F.split(b, "")), lambda p, _: step(p), lambda p: p["parts"]), rank)
     return _with(raw, lambda b: F.when(whole(b).isNotNull(), F.array(whole(b))).otherwise(folded(b)))
 
 
