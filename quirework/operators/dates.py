@@ -257,6 +257,8 @@ def judge_zones(parsed: DataFrame, zones: dict[str, tuple[str, ...]] | None = No
     abbreviations that it never shows. A feed without anything aligned has no row. Nulls never align.
     """
     zones = world_zones() if zones is None else zones
+    java = parsed.sparkSession.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", ")
+    zones = {z: zones[z] for z in set(zones).intersection(java)}  # both sides' zone tables may be of different years
     seen = aligned_offsets(parsed)
     listed = F.array(*[F.struct(F.lit(z).alias("zone_name"), F.array(*map(F.lit, names)).cast("array<string>").alias("shown")) for z, names in sorted(zones.items())])
     tried = seen.withColumn("z", F.explode(listed)).select("feed", "kind", "at", "ahead", "name", "n", "z.zone_name", "z.shown")

@@ -46,17 +46,24 @@ def penalised(scores: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return scores.join(counts, key, "left").select(key, F.when(n > 0, F.col("score") / (1 + 0.15 * F.log(1 + n))).otherwise(F.col("score")).alias("score"))
 
 
-def pair_candidates(vectors: DataFrame, n: int, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """(a, b, score): for each vector the n nearest others of cosine least or more.
+def pair_candidates(vectors: DataFrame, n: int, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 512, queries: DataFrame | None = None) -> DataFrame:
+    """(a, b, score): for each query vector the n nearest others of cosine least or more.
 
-    The query set is every vector, held against all in blocks that are multiplied as matrices;
-    each task keeps n per vector and block, and a window keeps n of those. No pair below the
-    cut is a row; the work is the square of the vectors, and exact."""
+    queries are rows of the same columns, as new entities held against the known ones; without them
+    they are all vectors. They are held against all in blocks that are multiplied as matrices; each
+    task keeps n per vector and block, and a window keeps n of those. No pair below the cut is a
+    row; the work is queries times vectors, and exact. Nulls are left out."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v")).where("v is not null")
-    blocks = stored(rows.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_blocks(block), "part bigint, keys array<bigint>, rows binary, width int"), "vectors")
-    heads = blocks.select(F.col("part").alias("other"), F.col("keys").alias("keys2"), F.col("rows").alias("rows2"), F.col("width").alias("width2"))
-    met = blocks.join(heads, F.col("width") == F.col("width2")).select("keys", "rows", "keys2", "rows2", "width")
+    parts = max(1, spark.sparkContext.defaultParallelism)
+
+    def cut(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v")).where("v is not null")
+        return stored(rows.repartition(parts).mapInArrow(_blocks(block), "part bigint, keys array<bigint>, rows binary, width int"), "vectors")
+
+    blocks = cut(vectors)
+    asked = blocks if queries is None else cut(queries)
+    heads = blocks.select(F.col("keys").alias("keys2"), F.col("rows").alias("rows2"), F.col("width").alias("width2"))
+    met = asked.join(heads, F.col("width") == F.col("width2")).select("keys", "rows", "keys2", "rows2", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -206,19 +206,20 @@ def q_score_union(t):
 @query(
     """SELECT a, b, round(score, 5) AS score FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score,
       row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 12) DESC, y.vec_id) AS n
-      FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id) WHERE n <= 10 AND score >= 0.3"""
+      FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id AND x.vec_id % 100 = 0) WHERE n <= 10 AND score >= 0.3"""
 )
 def q_er_candidates(t):
-    return R.pair_candidates(t("embeddings"), 10, 0.3).withColumn("score", F.round("score", 5))
+    """The query set is every vector whose id divides by 100, held against all."""
+    return R.pair_candidates(t("embeddings"), 10, 0.3, queries=t("embeddings").where("vec_id % 100 = 0")).withColumn("score", F.round("score", 5))
 
 
 @query(
-    """WITH c AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS score FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id),
+    """WITH c AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS score FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id AND x.vec_id % 100 = 0),
       k AS (SELECT *, row_number() OVER w AS n, lag(score) OVER w AS p FROM c WINDOW w AS (PARTITION BY a ORDER BY score DESC, b)),
       g AS (SELECT *, bool_and(score >= 0.2 AND (p IS NULL OR score > p / 1.1)) OVER (PARTITION BY a ORDER BY n) AS ok FROM k WHERE n <= 10 AND score >= 0.1) SELECT a, b, score FROM g WHERE ok"""
 )
 def q_er_gradient(t):
-    c = R.pair_candidates(t("embeddings"), 10, 0.1).withColumn("score", F.round("score", 5))
+    c = R.pair_candidates(t("embeddings"), 10, 0.1, queries=t("embeddings").where("vec_id % 100 = 0")).withColumn("score", F.round("score", 5))
     return R.gradient_cut(c, 0.2, 1.1)
 
 
