@@ -8,6 +8,7 @@ ingestion, and pick, of all zones there are, the offset history that violates th
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
@@ -260,7 +261,7 @@ def judge_zones(parsed: DataFrame, zones: dict[str, tuple[str, ...]] | None = No
     java = parsed.sparkSession.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", ")
     zones = {z: zones[z] for z in set(zones).intersection(java)}  # both sides' zone tables may be of different years
     seen = aligned_offsets(parsed)
-    listed = F.array(*[F.struct(F.lit(z).alias("zone_name"), F.array(*map(F.lit, names)).cast("array<string>").alias("shown")) for z, names in sorted(zones.items())])
+    listed = F.from_json(F.lit(json.dumps([{"zone_name": z, "shown": names} for z, names in sorted(zones.items())])), "array<struct<zone_name:string,shown:array<string>>>")
     tried = seen.withColumn("z", F.explode(listed)).select("feed", "kind", "at", "ahead", "name", "n", "z.zone_name", "z.shown")
     ahead = _offset_at(F.col("zone_name"), F.col("at"))
     wrong = F.when(F.col("kind") == "=", F.abs(ahead - F.col("ahead")) > 450).when(F.col("kind") == ">", ahead < F.col("ahead")).otherwise(~F.array_contains("shown", F.col("name")))
