@@ -44,7 +44,7 @@ def q_info_json(t):
     return b.select("record_id", F.to_json(F.struct("title", "authors", "language", "publisher", "subjects", "collection", "spine")).alias("info"))
 
 
-@query()
+@query(rf"""SELECT chapter_key AS doc_key, '[{{"ord":1,"level":2,"title":' || to_json({_said("regexp_extract(document, '(?s)<h2>(.*?)</h2>', 1)")}) || '}}]' AS sections FROM chapters WHERE contains(document, '<h2>')""")
 def q_sections_json(t):
     s = blocks.sections(nodes_of(t, again=True))
     return s.groupBy("doc_key").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "level", "title", "parent_ord")))).alias("sections"))

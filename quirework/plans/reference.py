@@ -232,14 +232,18 @@ def _flow(t) -> DataFrame:
     return joined.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
 
 
-@query()
+_PPR = f"""WITH RECURSIVE e AS ({_FLOW}), u AS (SELECT a AS s, b AS d FROM e WHERE a <> b UNION ALL SELECT b, a FROM e WHERE a <> b), w AS (SELECT s, d, count(*) / sum(count(*)) OVER (PARTITION BY s) AS w FROM u GROUP BY 1, 2),
+      p AS (SELECT 0 AS i, n_nationkey AS node, 1 / 3.0::DOUBLE AS rank FROM nation WHERE n_nationkey < 3 UNION ALL SELECT p.i + 1, w.d, sum(0.85 * p.rank * w.w) + CASE WHEN w.d < 3 THEN 0.05 ELSE 0 END FROM p JOIN w ON w.s = p.node WHERE p.i < 40 GROUP BY 1, 2)"""
+
+
+@query(_PPR + " SELECT node, round(rank, 8) AS rank FROM p WHERE i = 40")
 def q_ppr(t):
     edges = _flow(t)
     starts = t("nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("node"))
     return R.pagerank(edges, starts, rounds=40).withColumn("rank", F.round("rank", 8))
 
 
-@query()
+@query(_PPR + " SELECT c_custkey AS node, round(rank, 8) AS score FROM p JOIN customer ON c_nationkey = p.node WHERE i = 40 AND rank >= 1e-6 ORDER BY 2 DESC, 1 LIMIT 15")
 def q_graph_reason(t):
     starts = t("nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("node"))
     ranks = R.pagerank(_flow(t), starts, rounds=40)
@@ -465,13 +469,23 @@ def q_stats(t):
     return B.index_stats(t("documents"), "kind", "text", "n_chars", "source")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT coalesce(source, '') AS source, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS k, sum(coalesce(n_chars, 0)) OVER (PARTITION BY coalesce(source, '')) AS total FROM documents),
+      f AS (SELECT source, k, doc_id, 0::BIGINT AS batch, list_transform(range(greatest(1, round_even(total / 10000.0, 0)::BIGINT)), lambda x: CASE WHEN x = 0 THEN n ELSE 0 END) AS loads FROM t WHERE k = 1 UNION ALL
+        SELECT t.source, t.k, t.doc_id, (list_position(f.loads, list_min(f.loads)) - 1)::BIGINT, list_transform(f.loads, lambda x, i: CASE WHEN i = list_position(f.loads, list_min(f.loads)) THEN x + t.n ELSE x END) FROM f JOIN t ON t.source = f.source AND t.k = f.k + 1)
+      SELECT source, doc_id, batch::INTEGER AS batch FROM f"""
+)
 def q_lpt_pack(t):
     d = t("documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
     return P.lpt_pack(d, "source", "doc_id", "n_chars")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT book_id, chapter_key, coalesce(octet_length(encode(document)), 0) AS size, row_number() OVER (PARTITION BY book_id ORDER BY chapter_key) AS n FROM chapters),
+      f AS (SELECT book_id, chapter_key, n, 0 AS chunk, size AS filled FROM r WHERE n = 1 UNION ALL
+        SELECT r.book_id, r.chapter_key, r.n, CASE WHEN f.filled >= 8192 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.filled >= 8192 THEN r.size ELSE f.filled + r.size END FROM f JOIN r ON r.book_id IS NOT DISTINCT FROM f.book_id AND r.n = f.n + 1)
+      SELECT book_id, chapter_key, chunk FROM f"""
+)
 def q_next_fit(t):
     d = t("chapters").select("book_id", "chapter_key", F.coalesce(F.octet_length("document"), F.lit(0)).alias("size"))
     return P.next_fit(d, "book_id", "chapter_key", "size")
