@@ -33,9 +33,15 @@ def predicates(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"is_structural": F.col("role").isin(*STRUCTURAL), "is_block": F.col("role").isin(*BLOCK), "is_inline": F.col("role").isin(*INLINE), "is_prunable": F.col("role").isin(*PRUNABLE), "has_attrs": has_attributes()})
 
 
+def _shuffled(nodes: DataFrame) -> DataFrame:
+    """For joins with the nodes themselves. Spark goes by the size of a stored step's files, and
+    nodes compress so well that it would send all of them through the driver to be broadcast."""
+    return nodes.hint("merge")
+
+
 def _with_parent_role(nodes: DataFrame) -> DataFrame:
     parents = nodes.select("doc_key", F.col("pre").alias("parent_pre"), F.col("role").alias("parent_role"))
-    return nodes.join(parents, _PARENT, "left")
+    return nodes.join(_shuffled(parents), _PARENT, "left")
 
 
 def vacuum(nodes: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def fuse_lists(nodes: DataFrame) -> DataFrame:
     island = Window.partitionBy(*_PARENT, "__island")
     n = n.withColumns({"__head": F.min("pre").over(island), "__end": F.max("end").over(island)})
     moved = n.where("__joins").select("doc_key", F.col("pre").alias("parent_pre"), F.col("__head").alias("__to"))
-    out = n.where("not __joins").join(moved, _PARENT, "left").withColumn("end", F.when(F.col("role").isin(*lists), F.greatest("end", "__end")).otherwise(F.col("end")))
+    out = n.where("not __joins").join(_shuffled(moved), _PARENT, "left").withColumn("end", F.when(F.col("role").isin(*lists), F.greatest("end", "__end")).otherwise(F.col("end")))
     order = Window.partitionBy("doc_key", F.coalesce("__to", "parent_pre")).orderBy("pre")
     out = out.withColumn("sib", F.when(F.col("parent_pre").isNull(), F.col("sib")).otherwise(F.row_number().over(order) - 1))
     return out.withColumn("parent_pre", F.coalesce("__to", "parent_pre")).select(*nodes.columns)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import blocks, links, passes, positions, retrieval, rewrite, styles, tree
+from quirework.session import stored
 from quirework.sources import epub
 from quirework.sources.html import html_nodes
 
@@ -208,3 +209,12 @@ def test_windowed_passes_and_the_single_one_agree(nodes):
     one = nodes.where("doc_key = 4")
     by_window = passes.renumber(passes.prune(passes.trim_edges(passes.fuse_lists(passes.merge_spans(passes.vacuum(one))))))
     assert {tuple(r) for r in by_window.select(*nodes.columns).collect()} == {tuple(r) for r in rewrite.pipeline(one).select(*nodes.columns).collect()}
+
+
+def test_list_fusion_sends_no_nodes_through_the_driver(spark, nodes, rows):
+    small = stored(nodes)
+    fused = passes.fuse_lists(stored(passes.vacuum(small)))
+    for step in (passes.vacuum(small), fused):
+        assert "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()
+    assert rows(fused.select("doc_key", "pre", "end", "parent_pre", "sib")) == rows(passes.fuse_lists(passes.vacuum(nodes)).select("doc_key", "pre", "end", "parent_pre", "sib"))
+    assert fused.where("role = 'UnorderedList' and doc_key = 1").count() == 1
