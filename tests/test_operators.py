@@ -218,3 +218,9 @@ def test_list_fusion_sends_no_nodes_through_the_driver(spark, nodes, rows):
         assert "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()
     assert rows(fused.select("doc_key", "pre", "end", "parent_pre", "sib")) == rows(passes.fuse_lists(passes.vacuum(nodes)).select("doc_key", "pre", "end", "parent_pre", "sib"))
     assert fused.where("role = 'UnorderedList' and doc_key = 1").count() == 1
+
+
+def test_wrapped_runs_send_no_nodes_through_the_driver(spark, nodes, rows):
+    runs = passes.wrap_runs(passes.vacuum(stored(nodes)))
+    assert "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert rows(runs.where("doc_key = 1").select("nodes")) == [(1,), (1,), (1,)]
