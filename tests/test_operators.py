@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import blocks, links, passes, positions, retrieval, rewrite, styles, tree
+from quirework.plans import documents
 from quirework.session import stored
 from quirework.sources import epub
 from quirework.sources.html import html_nodes
@@ -224,3 +225,11 @@ def test_wrapped_runs_send_no_nodes_through_the_driver(spark, nodes, rows):
     runs = passes.wrap_runs(passes.vacuum(stored(nodes)))
     assert "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
     assert rows(runs.where("doc_key = 1").select("nodes")) == [(1,), (1,), (1,)]
+
+
+def test_the_query_of_wrapped_runs_sends_no_nodes_through_the_driver_once_it_has_run(spark, rows, tmp_path):
+    spark.range(1, 7).selectExpr("id AS chapter_key").write.parquet(f"{tmp_path}/chapters.parquet")
+    runs = documents.QUERIES["q_wrap_runs"](spark, str(tmp_path))
+    assert rows(runs) == sorted(r for k in range(1, 7) for r in ([(k, 1, 2), (k, 6, 1)] if k % 2 == 0 else [(k, 1, 1), (k, 4, 1)]))
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
