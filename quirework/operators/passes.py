@@ -17,6 +17,8 @@ WRAPPING = ("Container", "BlockQuote", "ListItem", "TableCell", "Figure", "Sideb
 TRIMMED = ("Paragraph", "Heading", "Caption", "ListItem", "DefinitionTerm", "DefinitionDescription", "BlockQuote", "TableCell", "Container", "Sidebar")
 _PARENT = ["doc_key", "parent_pre"]
 _BLANK = r"(?U)^\s*$"
+#: Nodes, about, of a task where a pass is told how many there are.
+NODES_A_TASK = 50_000
 
 
 def blank(text: Column | str) -> Column:
@@ -39,17 +41,25 @@ def _shuffled(nodes: DataFrame) -> DataFrame:
     return nodes.hint("merge")
 
 
-def _with_parent_role(nodes: DataFrame) -> DataFrame:
+def parts_of(nodes: DataFrame) -> int:
+    """Tasks for passes over stored nodes, by how many there are. Spark goes by the size of a shuffle, and
+    nodes compress so well that a task's sorts would need many times what it expects."""
+    return max(1, -(-nodes.count() // NODES_A_TASK))
+
+
+def _with_parent_role(nodes: DataFrame, parts: int = 0) -> DataFrame:
     parents = nodes.select("doc_key", F.col("pre").alias("parent_pre"), F.col("role").alias("parent_role"))
+    if parts:
+        nodes, parents = (x.repartition(parts, *_PARENT) for x in (nodes, parents))
     return nodes.join(_shuffled(parents), _PARENT, "left")
 
 
-def vacuum(nodes: DataFrame) -> DataFrame:
+def vacuum(nodes: DataFrame, parts: int = 0) -> DataFrame:
     """Drops blank text under structural parents unless inline content flanks it.
 
     The flank before is the last sibling that isn't blank text, the one after the next sibling
     as it stands, so of two blanks between inlines exactly one survives."""
-    n = _with_parent_role(nodes)
+    n = _with_parent_role(nodes, parts)
     w = Window.partitionBy(*_PARENT).orderBy("sib")
     empty = (F.col("role") == "Text") & blank("text") & F.col("id").isNull()
     inline = F.col("role").isin(*INLINE)
@@ -88,11 +98,11 @@ def fuse_lists(nodes: DataFrame) -> DataFrame:
     return out.withColumn("parent_pre", F.coalesce("__to", "parent_pre")).select(*nodes.columns)
 
 
-def wrap_runs(nodes: DataFrame) -> DataFrame:
+def wrap_runs(nodes: DataFrame, parts: int = 0) -> DataFrame:
     """(doc_key, parent_pre, run, first_pre, last_end, nodes): the inline runs of parents that also have block children.
 
     Each run is what an anonymous Container wraps."""
-    n = _with_parent_role(nodes).where(F.col("parent_role").isin(*WRAPPING))
+    n = _with_parent_role(nodes, parts).where(F.col("parent_role").isin(*WRAPPING))
     inline = F.col("role").isin(*INLINE)
     whole = Window.partitionBy(*_PARENT)
     w = whole.orderBy("sib")

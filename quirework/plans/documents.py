@@ -144,7 +144,9 @@ def q_wrap_runs(t):
     """A page for every chapter with words before and behind a block."""
     page = F.when(F.col("chapter_key") % 2 == 0, "<div>loose <i>run</i><p>block</p>end</div>").otherwise("<div>loose<p>block</p>end</div>")
     n = html_nodes(t("chapters").select("chapter_key", page.alias("page")), "chapter_key", "page")
-    return passes.wrap_runs(passes.vacuum(stored(n, "nodes"))).select("doc_key", "first_pre", "nodes")
+    n = stored(n, "nodes")
+    parts = passes.parts_of(n)
+    return passes.wrap_runs(passes.vacuum(n, parts), parts).select("doc_key", "first_pre", "nodes")
 
 
 @query(

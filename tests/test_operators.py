@@ -233,3 +233,13 @@ def test_the_query_of_wrapped_runs_sends_no_nodes_through_the_driver_once_it_has
     assert rows(runs) == sorted(r for k in range(1, 7) for r in ([(k, 1, 2), (k, 6, 1)] if k % 2 == 0 else [(k, 1, 1), (k, 4, 1)]))
     plan = runs._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
+
+
+def test_tasks_of_the_query_of_wrapped_runs_follow_the_number_of_nodes(spark, rows, tmp_path, monkeypatch):
+    spark.range(1, 41).selectExpr("id AS chapter_key").write.parquet(f"{tmp_path}/chapters.parquet")
+    monkeypatch.setattr(passes, "NODES_A_TASK", 20)
+    runs = documents.QUERIES["q_wrap_runs"](spark, str(tmp_path))
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    nodes = 20 * 7 + 20 * 5
+    assert plan.count(f", {nodes // 20}), REPARTITION_BY_NUM") >= 4 and "ENSURE_REQUIREMENTS" not in plan
+    assert rows(runs) == sorted((r for k in range(1, 41) for r in ([(k, 1, 2), (k, 6, 1)] if k % 2 == 0 else [(k, 1, 1), (k, 4, 1)])), key=lambda r: tuple((x is not None, str(x)) for x in r))
